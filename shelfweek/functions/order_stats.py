@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfweek.session import materialise
+
 SPLITS = 64
 
 
-def values_at_ranks(
-    df: DataFrame, by: Sequence[str], value: str, wanted: DataFrame, splits: int = SPLITS
-) -> DataFrame:
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows per distinct value and group (``by``, v, c), NULL included; written once for several passes."""
+    return materialise(df.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "value_counts")
+
+
+def values_at_ranks(counts: DataFrame, by: Sequence[str], wanted: DataFrame, splits: int = SPLITS) -> DataFrame:
     """The values at given 1-based ascending ranks (NULLs left out) per group: ``by``, rank, value.
 
-    ``wanted`` holds (``by``, rank). Equal values are counted first; approximate percentiles then cut
-    each group into ``splits`` slices, slice totals (a bounded number of rows per group) locate the
-    slice of every rank, and only inside a slice are values ordered. Slices of a hot group are
-    therefore spread over tasks, and the result is exact whatever the error of the percentiles.
+    ``counts`` comes from ``value_counts``, ``wanted`` holds (``by``, rank). Approximate percentiles cut
+    the distinct values of each group into ``splits`` slices, slice totals (a bounded number of rows per
+    group) locate the slice of every rank, and only inside a slice are values ordered. Slices of a hot
+    group are therefore spread over tasks, and the result is exact whatever the error of the percentiles.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.filter("v IS NOT NULL")
     cuts = F.array(*[F.lit(i / splits) for i in range(1, splits)])
     edges = counts.groupBy(*by).agg(F.approx_percentile("v", cuts, F.lit(1000)).alias("edges"))
     slice_id = F.size(F.filter("edges", lambda e: e < F.col("v")))
@@ -56,12 +61,13 @@ def second_quartile_max(df: DataFrame, by: Sequence[str], value: str, name: str)
     no second bucket and are left out. NULL rows sort first and shift the rank among known values.
     """
     by = list(by)
-    rows = F.count(F.lit(1))
-    nulls = rows - F.count(value)
-    size = df.groupBy(*by).agg(rows.alias("rows"), nulls.alias("nulls")).filter("rows >= 2")
+    counts = value_counts(df, by, value)
+    size = counts.groupBy(*by).agg(
+        F.sum("c").alias("rows"), F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("nulls")
+    )
     end = F.call_function("div", F.col("rows"), F.lit(4)) * 2 + F.least(F.col("rows") % 4, F.lit(2))
-    wanted = size.select(*by, (end - F.col("nulls")).alias("rank"))
-    found = values_at_ranks(df, by, value, wanted).select(*by, F.col("value").alias(name))
+    wanted = size.filter("rows >= 2").select(*by, (end - F.col("nulls")).alias("rank"))
+    found = values_at_ranks(counts, by, wanted).select(*by, F.col("value").alias(name))
     return wanted.select(*by).join(found, by, "left")
 
 
@@ -76,15 +82,17 @@ def quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], probs: Se
         .unpivot(list(by), list(values), "variable", "x")
         .filter("x IS NOT NULL")
     )
+    counts = value_counts(long, keys, "x")
     n = F.col("n")
-    size = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     wanted = (
-        size.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        counts.groupBy(*keys)
+        .agg(F.sum("c").alias("n"))
+        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("lo", F.floor((n - 1) * F.col("prob")).cast("bigint") + 1)
         .withColumn("hi", F.least(F.col("lo") + 1, n))
     )
     ranks = wanted.select(*keys, F.explode(F.array("lo", "hi")).alias("rank"))
-    at = values_at_ranks(long, keys, "x", ranks)
+    at = materialise(values_at_ranks(counts, keys, ranks), "ranked_values")
     low = at.select(*keys, F.col("rank").alias("lo"), F.col("value").alias("v_lo"))
     high = at.select(*keys, F.col("rank").alias("hi"), F.col("value").alias("v_hi"))
     weight = (n - 1) * F.col("prob") - (F.col("lo") - 1)

@@ -68,71 +68,82 @@ def _rows(df: DataFrame, key: str, y: str, X: Sequence[str], extra: Sequence[str
     )
 
 
-def _moments(rows: DataFrame, key: str, p: int) -> DataFrame:
-    """n, means and centred cross-products per key; two partial-aggregate passes, no group collected."""
-    x, y = F.col("x"), F.col("y")
-    mean = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.array(*[F.avg(x[i]) for i in range(p)]).alias("mx")
+def _summed(rows: DataFrame, key: str, values: Column) -> DataFrame:
+    """Element-wise sums of an array column per key: ``key``, n, ``sums``.
+
+    Elements are summed as (key, position) rows, which partial aggregation folds before the shuffle; one
+    aggregate with hundreds of columns would outgrow generated code.
+    """
+    return (
+        rows.select(key, F.posexplode(values).alias("pos", "v"))
+        .groupBy(key, "pos")
+        .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        .groupBy(key)
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("pairs"))
+        .select(key, "n", F.col("pairs.v").alias("sums"))
     )
-    centred = rows.join(mean, key).select(
-        key, "n", "my", "mx", (y - F.col("my")).alias("dy"),
-        F.zip_with("x", "mx", lambda a, b: a - b).alias("d"),
+
+
+def _moments(rows: DataFrame, key: str, p: int) -> DataFrame:
+    """n, means and centred cross-products (upper triangle, target last) per key, in two passes."""
+    z = F.concat("x", F.array("y"))
+    mean = _summed(rows, key, z).select(
+        key, "n", F.transform("sums", lambda s: s / F.col("n")).alias("means")
     )
-    d = F.col("d")
-    cross = [F.sum(d[i] * d[j]) for i in range(p) for j in range(i, p)]
-    return centred.groupBy(key).agg(
-        F.first("n").alias("n"),
-        F.first("my").alias("my"),
-        F.first("mx").alias("mx"),
-        F.sum(F.col("dy") * F.col("dy")).alias("yy"),
-        F.array(*[F.sum(d[i] * F.col("dy")) for i in range(p)]).alias("xy"),
-        F.array(*cross).alias("xx"),
+    centred = rows.join(mean, key).select(key, F.zip_with(z, "means", lambda a, m: a - m).alias("d"))
+    products = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(p)),
+            lambda i: F.transform(F.slice("d", i + 1, p + 1 - i), lambda v: v * F.get("d", i)),
+        )
     )
+    cross = _summed(centred, key, products).select(key, F.col("sums").alias("cross"))
+    return mean.join(cross, key)
 
 
 def _solve(moments: DataFrame, key: str, p: int) -> DataFrame:
     """Solve every key's normal equations: one input row per model, Arrow batches of models."""
     key_type = moments.schema[key].dataType.simpleString()
-    schema = (
-        f"{key} {key_type}, n bigint, rank int, intercept double, beta array<double>, se array<double>, "
-        "intercept_se double, vif array<double>, kept array<boolean>, inverse array<double>, mx array<double>, "
-        "my double, sigma2 double, rsq double, adj_rsq double, status string"
-    )
-    upper = np.triu_indices(p)
+    fields = {
+        key: key_type, "n": "bigint", "rank": "int", "intercept": "double", "beta": "array<double>",
+        "se": "array<double>", "intercept_se": "double", "vif": "array<double>", "kept": "array<boolean>",
+        "inverse": "array<double>", "mx": "array<double>", "sigma2": "double", "rsq": "double",
+        "adj_rsq": "double", "status": "string",
+    }
+    upper = np.triu_indices(p + 1)
+
+    def model(name, n: int, means: np.ndarray, packed: np.ndarray) -> dict:
+        full = np.zeros((p + 1, p + 1))
+        full[upper] = packed
+        full = full + full.T - np.diag(np.diag(full))
+        cross, xy, yy = full[:p, :p], full[:p, p], full[p, p]
+        mx, my = means[:p], means[p]
+        beta, inverse, kept = solve_centred(cross, xy)
+        rank = len(kept) + 1
+        rss = max(float(yy - beta @ xy), 0.0)
+        free = n - rank
+        s2 = rss / free if free > 0 else float("nan")
+        rsq = 1 - rss / yy if yy > 0 else float("nan")
+        return {
+            key: name, "n": n, "rank": rank, "intercept": float(my - beta @ mx), "beta": beta.tolist(),
+            "se": np.sqrt(s2 * np.diag(inverse)).tolist(),
+            "intercept_se": float(np.sqrt(s2 * (1 / n + mx @ inverse @ mx))),
+            "vif": (np.diag(inverse) * np.diag(cross)).tolist(),
+            "kept": np.isin(np.arange(p), kept).tolist(), "inverse": inverse.ravel().tolist(), "mx": mx.tolist(),
+            "sigma2": s2, "rsq": rsq,
+            "adj_rsq": 1 - (1 - rsq) * (n - 1) / free if free > 0 else float("nan"),
+            "status": "ok" if free > 0 else "no residual degrees of freedom",
+        }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                cross = np.zeros((p, p))
-                cross[upper] = r.xx
-                cross = cross + cross.T - np.diag(np.diag(cross))
-                xy, mx = np.asarray(r.xy, float), np.asarray(r.mx, float)
-                beta, inverse, kept = solve_centred(cross, xy)
-                rank, n = len(kept) + 1, int(r.n)
-                rss = max(float(r.yy - beta @ xy), 0.0)
-                free = n - rank
-                s2 = rss / free if free > 0 else float("nan")
-                rsq = 1 - rss / r.yy if r.yy > 0 else float("nan")
-                flags = np.isin(np.arange(p), kept)
-                out.append(
-                    (
-                        getattr(r, key), n, rank, float(r.my - beta @ mx), beta.tolist(),
-                        np.sqrt(s2 * np.diag(inverse)).tolist(),
-                        float(np.sqrt(s2 * (1 / n + mx @ inverse @ mx))),
-                        (np.diag(inverse) * np.diag(cross)).tolist(), flags.tolist(), inverse.ravel().tolist(),
-                        mx.tolist(), float(r.my), s2, rsq,
-                        1 - (1 - rsq) * (n - 1) / free if free > 0 else float("nan"),
-                        "ok" if free > 0 else "no residual degrees of freedom",
-                    )
-                )
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in _fields(schema)])
-
-    return moments.mapInPandas(run, schema)
-
-
-def _fields(schema: str) -> list[str]:
-    return [part.strip() for part in schema.split(", ")]
+            rows = [
+                model(k, int(n), np.asarray(m, float), np.asarray(c, float))
+                for k, n, m, c in zip(batch[key], batch["n"], batch["means"], batch["cross"])
+            ]
+            yield pd.DataFrame(rows, columns=list(fields))
+
+    return moments.mapInPandas(run, ", ".join(f"{name} {kind}" for name, kind in fields.items()))
 
 
 def _predict(x: Column) -> Column:
@@ -172,6 +183,7 @@ def _fit(rows: DataFrame, key: str, p: int, cook: bool, terms: int) -> tuple[Dat
     """(model rows, rows used by the model)."""
     fit = _solve(_moments(rows, key, p), key, p)
     if cook:
+        fit = materialise(fit, "first_models")
         rows = materialise(drop_influential(rows, fit, key, p, terms), "fit_rows")
         fit = _solve(_moments(rows, key, p), key, p)
     return materialise(fit, "models"), rows

@@ -7,8 +7,10 @@ import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfweek.functions.numeric import dbl
-from shelfweek.functions.weeks import calendar_ranks, pack_week, week_ending
+from shelfweek.functions.numeric import ratio
+from shelfweek.functions.weeks import calendar_ranks, week_ending
+
+EXACT = "decimal(28,8)"
 
 
 def with_period(
@@ -97,7 +99,8 @@ def promo_week_price(promo: DataFrame) -> DataFrame:
     """Day-weighted promotion price per product and fiscal week, from ``with_period`` output.
 
     Intervals that cross the year end have start week > end week; they match no week and stay as one
-    row with a NULL week. Intervals are aggregated by their day pattern before they are exploded.
+    row with a NULL week. Intervals are aggregated by their day pattern before they are exploded. Sums
+    run in decimals, so a price does not depend on the order in which partitions arrive.
     """
     same_week = F.col("wknd_start") == F.col("wknd_end")
     whole = F.datediff("promo_end_date", "promo_start_date") + 1
@@ -110,7 +113,7 @@ def promo_week_price(promo: DataFrame) -> DataFrame:
         )
         .groupBy("merchandise_key", "year_start", "week_end", "week_start", "days_end", "days_start")
         .agg(
-            F.avg(dbl("promo_price")).alias("price"),
+            ratio(F.sum(F.col("promo_price").cast(EXACT)), F.count("promo_price")).alias("price"),
             F.max("promo_desc").alias("desc_max"),
             F.min("promo_desc").alias("desc_min"),
         )
@@ -127,7 +130,7 @@ def promo_week_price(promo: DataFrame) -> DataFrame:
         .withColumn("days", days)
         .groupBy("year_start", "fw", "merchandise_key")
         .agg(
-            F.try_divide(F.sum(F.col("price") * F.col("days")), F.sum("days")).alias("promo_price"),
+            ratio(F.sum((F.col("price") * F.col("days")).cast(EXACT)), F.sum("days")).alias("promo_price"),
             F.max("desc_max").alias("max_promo_desc"),
             F.min("desc_min").alias("min_promo_desc"),
         )

@@ -202,7 +202,7 @@ def _lloyd(points: DataFrame, problems: DataFrame, by: list[str], dims: int, kma
             stage = materialise(moved, "centres")
             centres = stage.drop("wss")
             total = stage.agg(F.sum("wss")).first()[0]
-            if previous is not None and abs(previous - total) <= 1e-12 * max(abs(total), 1.0):
+            if previous is not None and abs(previous - total) <= 1e-10 * max(abs(total), 1.0):
                 break
             previous = total
     final = (
@@ -266,7 +266,8 @@ def _block_pairs(left: DataFrame, right: DataFrame, by: list[str], fn: Callable,
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     keys = [*by, "bi", "bj"]
     a = left.withColumnRenamed("blk", "bi").withColumn("bj", other)
-    b = right.withColumnRenamed("blk", "bj").withColumn("bi", other)
+    # Fresh column ids: both sides usually come from the same frame.
+    b = right.select(*[F.col(c).alias("bj" if c == "blk" else c) for c in right.columns]).withColumn("bi", other)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
 
 

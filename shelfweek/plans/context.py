@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfweek.operators import lifecycle, master, prep, rollups
+from shelfweek.operators import baseline, elasticity, lifecycle, master, prep, rollups, segments, validate
 from shelfweek.session import materialise
 from shelfweek.sources import raw
 
@@ -17,6 +17,13 @@ AS_OF_WEEK = (2001, 45)
 LAST_WEEK = (2001, 32)
 LAST_RANK = 344  # calendar rank of LAST_WEEK
 MIN_LAUNCH = 199500
+SEG_ROWS = 6
+SEASONS = (
+    validate.Season("AW2000", 2000, 17, 21),
+    validate.Season("SS1999", 1999, 42, 48),
+    validate.Season("SS2000", 2000, 42, 47),
+    validate.Season("AW1999", 1999, 16, 21),
+)
 
 
 class Context:
@@ -117,5 +124,80 @@ class Context:
     def keyed(self, mid_hi: int = 19) -> DataFrame:
         return rollups.cluster_key(self.product_level(), mid_hi=mid_hi)
 
-    def type1(self) -> DataFrame:
+    def build_type1(self) -> DataFrame:
         return rollups.rollup_type1(self.keyed(), self.holidays, self.cal)
+
+    @cached_property
+    def type1(self) -> DataFrame:
+        return materialise(self.build_type1(), "type1")
+
+    def high(self) -> DataFrame:
+        return rollups.high_discount(self.type1)
+
+    # ---- baselines ----
+
+    def series(self) -> DataFrame:
+        return baseline.period_sales(self.cal, self.features, LAST_WEEK)
+
+    def smoothed_units(self) -> DataFrame:
+        units = F.col("gross_sales_units").cast("double")
+        return baseline.adaptive_smoothing(self.series().withColumn("s_r_forecast", units))
+
+    # ---- segmentation ----
+
+    def build_segmentation(self) -> DataFrame:
+        return segments.segmentation_features(self.features, self.items_cda, AS_OF_WEEK)
+
+    @cached_property
+    def segmentation(self) -> DataFrame:
+        return materialise(self.build_segmentation(), "segmentation")
+
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Winsorised, standardised features, written once: clustering passes over them many times."""
+        return materialise(segments.prepared(self.segmentation, min_rows=SEG_ROWS), "scaled")
+
+    # ---- elasticity and validation ----
+
+    @cached_property
+    def prepped(self) -> DataFrame:
+        return materialise(elasticity.elasticity_prep(self.high()), "prepped")
+
+    @cached_property
+    def elasticity(self) -> tuple[DataFrame, DataFrame]:
+        return elasticity.elasticity_results(self.prepped)
+
+    def validation_base(self) -> DataFrame:
+        keyed = self.keyed(20)
+        final = elasticity.reassign_coefficients(self.elasticities)
+        kinds = [F.col(f"final_co_eff_{k}") for k in ("pos", "first", "further")]
+        final = final.withColumn("final_co_eff_md_discount", (kinds[0] + kinds[1] + kinds[2]) / 3)
+        size = keyed.groupBy("cluster_key").agg(F.count_distinct("merchandise_key").alias("n"))
+        factors = size.select(
+            "cluster_key",
+            (-(F.col("n") % 7) / 1000).alias("age_weeks"),
+            ((F.col("n") % 5) / 10).alias("final_g_coeff"),
+            ((F.col("n") % 3) / 10).alias("final_m_coeff"),
+        )
+        months = (
+            self.features.filter("merchandise_key IS NOT NULL")
+            .join(F.broadcast(self.cal.select("fiscal_year", "fiscal_week", "fiscal_month")), ["fiscal_year", "fiscal_week"])
+            .groupBy("cat_key", F.col("fiscal_month").alias("period"))
+            .agg(F.sum("gross_sales_units").alias("units"))
+        )
+        total = months.groupBy("cat_key").agg(F.sum("units").alias("total"))
+        si = months.join(total, "cat_key").select(
+            "cat_key", "period", F.try_divide((F.col("units") * 12).cast("double"), F.col("total")).alias("new_ssn_exp")
+        )
+        es = self.smoothed_units().filter(F.col("period") <= LAST_RANK).select(
+            "cat_key", "merchandise_key", "fiscal_year", "fiscal_week", "es_fcast",
+            ((F.col("merchandise_key") % 5) / 10).alias("holiday_coefficient"),
+        )
+        return validate.validation_base(
+            self.product_level(), self.cal, self.holidays, rollups.product_cluster_map(keyed), final, factors, si,
+            es, baseline.trailing_baselines(self.series()), SEASONS,
+        )
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return materialise(validate.forecast_chain(self.validation_base()), "forecast")

@@ -9,7 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfweek.functions.weeks import sunday_weeks, week_ending
-from shelfweek.operators import baseline, eda, elasticity, lifecycle, prep, quality, returns, rollups, segments
+from shelfweek.operators import (
+    baseline,
+    eda,
+    elasticity,
+    lifecycle,
+    prep,
+    quality,
+    returns,
+    rollups,
+    segments,
+    validate,
+)
 from shelfweek.plans import oracle_tables as sql
 from shelfweek.plans.context import AS_OF_WEEK, LAST_RANK, LAST_WEEK, MIN_LAUNCH, Context
 
@@ -17,12 +28,13 @@ from shelfweek.plans.context import AS_OF_WEEK, LAST_RANK, LAST_WEEK, MIN_LAUNCH
 RR_WEEKS = (2001, 17, 32)
 HOLDOUT_YEARS = (1999, 2000)
 HOLDOUT_WEEKS_NEEDED = 1
-SCALE = 10_000
+SCALE = {"d": 10_000, "f": 1_000_000}
+THREE = ("sales", "price", "checkout_rate")
 
 
 @dataclass(frozen=True)
 class Query:
-    """``columns`` lists name:kind with kind i (whole number), d (decimal, 4 places) or s (text)."""
+    """``columns`` lists name:kind with kind i (whole number), d or f (4 or 6 decimal places) or s (text)."""
 
     name: str
     columns: str
@@ -39,8 +51,8 @@ class Query:
             c = F.col(name)
             if kind == "i":
                 c = c.cast("bigint")
-            elif kind == "d":
-                c = F.floor(c.cast("double") * SCALE + 0.5) / float(SCALE)
+            elif kind in SCALE:
+                c = F.floor(c.cast("double") * SCALE[kind] + 0.5) / float(SCALE[kind])
             else:
                 c = c.cast("string")
             out.append(c.alias(name))
@@ -52,12 +64,12 @@ class Query:
         parts = []
         for name, kind in self.fields():
             if kind == "i":
-                e = f"CAST({name} AS BIGINT)"
-            elif kind == "d":
-                e = f"floor(CAST({name} AS DOUBLE) * {SCALE} + 0.5) / {SCALE}"
+                e = f'CAST("{name}" AS BIGINT)'
+            elif kind in SCALE:
+                e = f'floor(CAST("{name}" AS DOUBLE) * {SCALE[kind]} + 0.5) / {SCALE[kind]}'
             else:
-                e = f"CAST({name} AS VARCHAR)"
-            parts.append(f"{e} AS {name}")
+                e = f'CAST("{name}" AS VARCHAR)'
+            parts.append(f'{e} AS "{name}"')
         body = self.check if self.check.lstrip().upper().startswith("SELECT") else f"SELECT * FROM {self.check}"
         return sql.compose(f"SELECT {', '.join(parts)} FROM ({body}) result")
 
@@ -280,7 +292,7 @@ SERIES = f"{YW} period:i merchandise_key:i cat_key:s gross_sales_units:i"
 
 
 def series(c: Context) -> DataFrame:
-    return baseline.period_sales(c.cal, c.features, LAST_WEEK)
+    return c.series()
 
 
 add("d23_period_sales", SERIES, series, "series")
@@ -290,30 +302,18 @@ add(
     lambda c: baseline.seasonal_index(series(c)),
     "seasoned",
 )
+SMOOTH = "es_fcast:d err:d alpha:d"
 add(
     "d25_adaptive_smoothing",
-    "merchandise_key:i period:i s_r_forecast:d es_fcast:d err:d alpha:d",
+    f"merchandise_key:i period:i s_r_forecast:d {SMOOTH}",
     lambda c: baseline.adaptive_smoothing(baseline.seasonal_index(series(c))),
+    "SELECT *, y AS s_r_forecast FROM smooth_season",
 )
 add(
     "d25_adaptive_smoothing_units",
-    "merchandise_key:i period:i y:d es_fcast:d err:d alpha:d",
-    lambda c: baseline.adaptive_smoothing(
-        series(c).withColumn("s_r_forecast", F.col("gross_sales_units").cast("double"))
-    ).withColumnRenamed("s_r_forecast", "y"),
-    """SELECT k AS merchandise_key, period, y, f AS es_fcast, e AS err, al AS alpha FROM (
-    WITH RECURSIVE walk(k, period, y, f, e, a, m, al) AS (
-      SELECT merchandise_key, CAST(1 AS BIGINT), CAST(gross_sales_units AS DOUBLE), CAST(0 AS DOUBLE), CAST(gross_sales_units AS DOUBLE),
-             CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM (SELECT * FROM series WHERE period = 1)
-      UNION ALL
-      SELECT k, p, y2, f2, e2, a2, m2, CASE WHEN m2 = 0 THEN 1 ELSE abs(a2 / m2) END FROM (
-        SELECT *, CAST(0.2 AS DOUBLE) * e2 + (1 - CAST(0.2 AS DOUBLE)) * a AS a2,
-                  CAST(0.2 AS DOUBLE) * abs(e2) + (1 - CAST(0.2 AS DOUBLE)) * m AS m2 FROM (
-          SELECT *, y2 - f2 AS e2 FROM (
-            SELECT w.k, w.period + 1 AS p, CAST(COALESCE(s.gross_sales_units, 0) AS DOUBLE) AS y2, w.al * w.y + (1 - w.al) * w.f AS f2,
-                   w.a, w.m
-            FROM walk w LEFT JOIN series s ON s.merchandise_key = w.k AND s.period = w.period + 1 WHERE w.period <= 344))))
-    SELECT * FROM walk)""",
+    f"merchandise_key:i period:i y:d {SMOOTH}",
+    lambda c: c.smoothed_units().withColumnRenamed("s_r_forecast", "y"),
+    "smooth_units",
 )
 
 # ---- return rates ---------------------------------------------------------------------------------------
@@ -490,14 +490,14 @@ ROLL = (
 SHARES = "pos:i first_mk:i further:i pos_perc:d first_perc:d further_perc:d"
 LAGS = "month_flag:i inventory_ratio_lag:d inventory_lag:i weeks_since_launch:i holiday_flag:i"
 TYPE1 = f"dept_desc:s cluster_key:s {ROLL} {SHARES} none_:i regular_perc:d {LAGS}"
-add("d50_rollup_type1", TYPE1, lambda c: c.type1(), "type1")
+add("d50_rollup_type1", TYPE1, lambda c: c.build_type1(), "type1")
 HIGH = TYPE1 + " high_disc_flag:i pos_disc:d first_disc:d further_disc:d holiday:i"
-add("d51_high_discount", HIGH, lambda c: rollups.high_discount(c.type1()), "high")
+add("d51_high_discount", HIGH, lambda c: c.high(), "high")
 add(
     "d52_category_phase",
     f"dept_desc:s cluster_key:s {YW} age_weeks:d infl1:i infl2:i phase_for_category:s",
     lambda c: rollups.category_phase(
-        c.type1(), rollups.category_cluster_map(c.keyed(19)), c.inflections()
+        c.type1, rollups.category_cluster_map(c.keyed(19)), c.inflections()
     ),
     f"""SELECT *, {sql.cycle(False)} AS phase_for_category FROM (SELECT a.*, b.infl1, b.infl2 FROM type1 a
     JOIN (SELECT m.cluster_key, CAST(trunc(AVG(i.infl1)) AS BIGINT) AS infl1, CAST(trunc(AVG(i.infl2)) AS BIGINT) AS infl2
@@ -532,3 +532,190 @@ for _id, _variant, _by_type, _dept in (
         ),
         sql.interim("plevel_b" if _variant == "b" else "plevel", _group, _by_type),
     )
+
+# ---- segmentation ---------------------------------------------------------------------------------------------
+
+FEATURES = ("sales", "price")
+add(
+    "d55_segmentation_features",
+    "cat_key:s link_line:s rank:i sales:i price:d checkout_rate:d age_weeks:i",
+    lambda c: c.build_segmentation(),
+    "seg",
+)
+add(
+    "d56_winsorize",
+    "cat_key:s link_line:s sales:f price:f",
+    lambda c: segments.winsorize(
+        segments.large_groups(c.segmentation, ["cat_key"], sql.SEG_ROWS), ["cat_key"], FEATURES
+    ),
+    "winsorized",
+)
+add("d57_standardise", "cat_key:s link_line:s sales:d price:d", lambda c: c.scaled, "scaled")
+add(
+    "d58_elbow_k1",
+    "cat_key:s k:i wss:d",
+    lambda c: segments.elbow(c.scaled, ks=(1,)),
+    """SELECT cat_key, 1 AS k, (COUNT(*) - 1) * (COALESCE(var_samp(sales), 0) + COALESCE(var_samp(price), 0)) AS wss
+    FROM scaled GROUP BY 1""",
+)
+add("d58_elbow", "cat_key:s k:i wss:d", lambda c: segments.elbow(c.scaled))
+add(
+    "d59a_kmeans_four_on_three",
+    "cat_key:s link_line:s cluster_number:i",
+    lambda c: segments.kmeans_by_group(
+        segments.prepared(c.segmentation, cols=THREE, fraction=None, min_rows=sql.SEG_ROWS), cols=THREE, k=4,
+        k_single=None,
+    ),
+)
+add(
+    "d59b_kmeans_three",
+    "cat_key:s link_line:s cluster_number:i",
+    lambda c: segments.kmeans_by_group(c.scaled, k=3, k_single=None),
+)
+add(
+    "d59c_kmeans_three_or_two",
+    "cat_key:s link_line:s cluster_number:i",
+    lambda c: segments.kmeans_by_group(c.scaled),
+)
+add(
+    "d60_kmedoids",
+    "cat_key:s link_line:s cluster_number:i",
+    lambda c: segments.kmedoids_by_group(c.scaled),
+)
+add(
+    "d60_silhouette",
+    "cat_key:s link_line:s cluster_number:i silhouette_width:d",
+    lambda c: segments.silhouette_by_group(
+        c.scaled.join(c.cluster_cat_mapping, ["cat_key", "link_line"])
+    ),
+    "silhouette",
+)
+add(
+    "d61_best_segmentation",
+    "cat_key:s link_line:s rank:i sales:i price:d cluster_number:i silhouette_width:d type:s",
+    lambda c: segments.best_segmentation(c.segmentation, min_rows=sql.SEG_ROWS),
+)
+add(
+    "d62_cluster_sweep",
+    "cat_key:s method:s k:i silhouette:d dunn:d wss:d",
+    lambda c: segments.cluster_sweep(c.segmentation, ks=(2, 3, 4, 5), min_rows=sql.SEG_ROWS),
+)
+
+# ---- elasticity -------------------------------------------------------------------------------------------------
+
+add(
+    "d63_elasticity_prep",
+    f"cluster_key:s {YW} gross_sales_units:i md_discount:d log_units:d capped_units:d train:i",
+    lambda c: c.prepped,
+    "SELECT cluster_key, fiscal_year, fiscal_week, gross_sales_units, disc AS md_discount, log_units, capped_units, train FROM prepped",
+)
+FIT = "cluster_key:s n:i intercept:d slope:d slope_se:d rsq:d"
+
+
+def one_regressor(cook: bool):
+    def build(c: Context) -> DataFrame:
+        fit = elasticity.ols_by_key(c.prepped.filter("train"), "cluster_key", "log_units", ["md_discount"], cook)
+        value = lambda v, col: F.max(F.when(F.col("variable") == v, F.col(col)))
+        return fit.groupBy("cluster_key").agg(
+            F.max("n").alias("n"),
+            value("(Intercept)", "estimate").alias("intercept"),
+            value("md_discount", "estimate").alias("slope"),
+            value("md_discount", "std_error").alias("slope_se"),
+            F.max("rsq").alias("rsq"),
+        ).filter((F.col("n") > 3) & F.col("slope").isNotNull())
+
+    return build
+
+
+def one_regressor_sql(fit: str) -> str:
+    return f"""SELECT cluster_key, n, a AS intercept, b AS slope, sqrt(s2 / sxx) AS slope_se, 1 - greatest(syy - b * sxy, 0) / NULLIF(syy, 0) AS rsq
+    FROM {fit} WHERE n > 3 AND b IS NOT NULL"""
+
+
+add("d64_ols_one_regressor", FIT, one_regressor(False), one_regressor_sql("fit1"))
+add("d64_ols_one_regressor_cook", FIT, one_regressor(True), one_regressor_sql("fit2"))
+add(
+    "d64_ols_by_key",
+    "cluster_key:s variable:s estimate:d std_error:d t:d p:d adj_rsq:d rsq:d vif:d n:i status:s",
+    lambda c: elasticity.ols_by_key(
+        c.prepped.filter("train"), "cluster_key", "log_units", elasticity.REGRESSORS, terms=elasticity.TERMS
+    ),
+)
+add(
+    "d65_elasticity_results",
+    "cluster_key:s variable:s estimate:d std_error:d t:d p:d adj_rsq:d rsq:d vif:d insample_mape:d outsample_mape:d",
+    lambda c: c.elasticity[0],
+)
+add(
+    "d65_elasticity_coefficients",
+    "cluster_key:s intercept:d md_discount:d age_weeks:d pos_disc:d first_disc:d further_disc:d holiday:d avg_sales:d "
+    "positive_sales:i correlation:d",
+    lambda c: c.elasticity[1],
+)
+add(
+    "d66_reassign_coefficients",
+    "cat_key:s cluster_key:s final_co_eff_pos:d final_co_eff_first:d final_co_eff_further:d",
+    lambda c: elasticity.reassign_coefficients(c.elasticities),
+    "final_coefs",
+)
+
+# ---- validation ---------------------------------------------------------------------------------------------------
+
+VBASE = (
+    f"dept_key:s cat_key:s merchandise_key:i {YW} season_flag:s gross_sales_units:i disc_type_flag:s age:i current_plc:s "
+    "discount:d baseline_wsl:i prev_plc_stage:s fiscal_month:i cluster_key:s holiday:i pe:d pe_pos:d pe_first:d pe_further:d "
+    "si:d holiday_factor:d cd:d base_es:d base_ma:d base_med:d age_coefficient:d final_g_coeff:d final_m_coeff:d "
+    "disc_change:d pe_final:d si_final:d"
+)
+add("d67_validation_base", VBASE, lambda c: c.validation_base(), "vbase")
+CHAIN = " ".join(f"{s}_{m}:d" for m in validate.MODELS for s in ("age", "stage", "si", "pe_sales", "final_pred", "mape"))
+add(
+    "d68_forecast_chain",
+    f"merchandise_key:i season_flag:s {YW} change_in_wsl:i current_coeff:d prev_plc_coeff:d {CHAIN}",
+    lambda c: c.forecast,
+    "vfinal",
+)
+add(
+    "d69_error_bucket",
+    f"merchandise_key:i season_flag:s {YW} " + " ".join(f"mape_bucket_{m}:i" for m in validate.MODELS),
+    lambda c: c.forecast,
+    "vfinal",
+)
+ERRORS = " ".join(f"mape_{m}:d" for m in validate.MODELS)
+for _id, _grain, _columns, _check in (
+    (
+        "a", "dept_season_totals", "dept_key:s season_flag:s " + " ".join(f"final_pred_{m}:d" for m in validate.MODELS),
+        "SELECT dept_key, season_flag, SUM(final_pred_es) AS final_pred_es, SUM(final_pred_ma) AS final_pred_ma, "
+        "SUM(final_pred_med) AS final_pred_med FROM vfinal GROUP BY 1, 2",
+    ),
+    ("b", "season_buckets", "season_flag:s baseline:s bucket:i products:i", sql.bucket_summary(True)),
+    ("c", "buckets", "baseline:s bucket:i products:i", sql.bucket_summary(False)),
+    ("d", "total", ERRORS, sql.error_summary("")),
+    ("e", "season", f"season_flag:s {ERRORS}", sql.error_summary("season_flag")),
+    ("f", "dept_season", f"dept_key:s season_flag:s {ERRORS}", sql.error_summary("dept_key, season_flag")),
+    ("g", "products", "products:i", "SELECT COUNT(DISTINCT merchandise_key) AS products FROM vfinal"),
+):
+    add(
+        f"d70{_id}_summary_{_grain}",
+        _columns,
+        (lambda g: lambda c: validate.validation_summary(c.forecast, g))(_grain),
+        _check,
+    )
+
+# ---- checks -------------------------------------------------------------------------------------------------------
+
+add(
+    "d71_quality_checks",
+    "check:s key:s value:i",
+    lambda c: quality.quality_checks(
+        c.features, ["product_key", "fiscal_year"], ["merchandise_key", "launch_date", "md_flag"], ["cat_key"], 400,
+        ["net_sales_units"],
+    ),
+    """SELECT 'duplicate' AS "check", CAST(product_key AS VARCHAR) || COALESCE('|' || CAST(fiscal_year AS VARCHAR), '') AS key,
+    COUNT(*) AS value FROM feat GROUP BY product_key, fiscal_year HAVING COUNT(*) > 1
+    UNION ALL SELECT 'null', 'merchandise_key', COUNT(*) - COUNT(merchandise_key) FROM feat
+    UNION ALL SELECT 'null', 'launch_date', COUNT(*) - COUNT(CASE WHEN merchandise_key IS NOT NULL THEN launch_date END) FROM feat
+    UNION ALL SELECT 'null', 'md_flag', COUNT(*) - COUNT(md_flag) FROM feat
+    UNION ALL SELECT 'coverage<400', cat_key, COUNT(*) FROM feat GROUP BY cat_key HAVING COUNT(*) < 400
+    UNION ALL SELECT 'negative', 'net_sales_units', COUNT(CASE WHEN net_sales_units < 0 THEN 1 END) FROM feat""",
+)
