@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfweek.functions.numeric import exact_avg, link_line, ratio, trunc_avg
+from shelfweek.functions.numeric import exact_avg, fixed_avg, link_line, ratio, trunc_avg
 from shelfweek.functions.order_stats import quantiles
 from shelfweek.functions.weeks import packed_week, packed_year
 from shelfweek.session import checkpointed, materialise
@@ -37,7 +37,7 @@ def segmentation_features(
         .agg(
             F.sum("gross_sales_units").alias("sales"),
             exact_avg("regular_price").alias("price"),
-            F.avg(ratio("gross_sales_units", total)).alias("checkout_rate"),
+            fixed_avg(ratio("gross_sales_units", total)).alias("checkout_rate"),
             ((year - F.max(packed_year(launch))) * 52 + (week - F.max(packed_week(launch)))).alias("age_weeks"),
         )
         .filter(F.col("age_weeks") > 0)
@@ -50,8 +50,8 @@ def segmentation_features(
         .groupBy("cat_key", "link_line")
         .agg(
             F.sum("sales").alias("sales"),
-            F.avg("price").alias("price"),
-            F.avg("checkout_rate").alias("checkout_rate"),
+            fixed_avg("price").alias("price"),
+            fixed_avg("checkout_rate").alias("checkout_rate"),
             trunc_avg("age_weeks").alias("age_weeks"),
         )
     )
@@ -179,7 +179,11 @@ def _assign(points: DataFrame, centres: DataFrame, by: list[str], dims: int) ->
 
 
 def _lloyd(points: DataFrame, problems: DataFrame, by: list[str], dims: int, kmax: int, iters: int) -> DataFrame:
-    """Best centres per (by, k) over all starts: by, k, centres, wss."""
+    """Best centres per (by, k) over all starts: by, k, centres, wss.
+
+    One turn is one join with the centres and one aggregate whose partial sums are a few numbers per
+    (problem, task); an emptied cluster keeps its centre. Turns run in batches until nothing improves.
+    """
     keys = [*by, "k", "start"]
     centres = (
         _chains(points, by, dims, kmax)
@@ -187,15 +191,25 @@ def _lloyd(points: DataFrame, problems: DataFrame, by: list[str], dims: int, kma
         .select(*keys, F.slice("chain", 1, F.col("k")).alias("centres"))
     )
     centres = materialise(centres, "starts")
+    sums = [F.sum("d2").alias("wss"), F.first("centres").alias("old")]
+    for j in range(kmax):
+        mine = F.col("cluster") == j + 1
+        sums.append(F.count_if(mine).alias(f"n_{j}"))
+        sums += [F.sum(F.when(mine, F.col("x")[i])).alias(f"s_{j}_{i}") for i in range(dims)]
+    moved_centres = F.array(
+        *[
+            F.when(F.col(f"n_{j}") > 0, F.array(*[F.col(f"s_{j}_{i}") / F.col(f"n_{j}") for i in range(dims)]))
+            .otherwise(F.get("old", F.lit(j)))
+            for j in range(kmax)
+        ]
+    )
     previous = None
     for turn in range(iters):
         moved = (
             _assign(points, centres, by, dims)
-            .groupBy(*keys, "cluster")
-            .agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("c"), F.sum("d2").alias("ss"))
             .groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("cs"), F.sum("ss").alias("wss"))
-            .select(*keys, F.col("cs.c").alias("centres"), "wss")
+            .agg(*sums)
+            .select(*keys, F.slice(moved_centres, 1, F.col("k")).alias("centres"), "wss")
         )
         centres = moved.drop("wss")
         if turn % 4 == 3 or turn == iters - 1:
@@ -359,11 +373,65 @@ def _nearest_two(points: DataFrame, medoids: DataFrame, keys: list[str], dims: i
     )
 
 
+def _build_cost(dist: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """Total distance to the nearest medoid if each row's point became one more medoid."""
+    return np.minimum(dist, d1[None, :]).sum(axis=1)
+
+
+def _swap_cost(dist: np.ndarray, d1: np.ndarray, d2: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Change of the total if each row's point replaced medoid 0..k-1 (one column per medoid)."""
+    gain = np.minimum(dist - d1[None, :], 0.0)
+    lost = np.minimum(dist, d2[None, :]) - d1[None, :]
+    base = gain.sum(axis=1)
+    return np.stack([base + (lost[:, near == m] - gain[:, near == m]).sum(axis=1) for m in range(k)], axis=1)
+
+
+def _pam_one_block(pdf: pd.DataFrame, iters: int) -> list[int]:
+    """Medoid rows of a group that fits one block; same steps and tie rules as the block-pair path."""
+    pdf = pdf.sort_values("ident", kind="stable")
+    dist, k = _distances(pdf, pdf), int(pdf["k"].iloc[0])
+    chosen: list[int] = []
+    d1 = np.full(len(pdf), np.inf)
+    for _ in range(min(k, len(pdf))):
+        chosen.append(int(np.argmin(np.round(_build_cost(dist, d1), 9))))
+        d1 = np.minimum(d1, dist[chosen[-1]])
+    for _ in range(iters):
+        ds = dist[chosen]
+        order = np.sort(ds, axis=0)
+        cost = np.round(
+            _swap_cost(dist, order[0], order[1] if len(chosen) > 1 else order[0], ds.argmin(axis=0), len(chosen)), 9
+        )
+        pos, row = divmod(int(np.argmin(cost.T)), len(pdf))
+        if cost[row, pos] >= -1e-9:
+            break
+        chosen[pos] = row
+    return [int(pdf.index[c]) for c in chosen]
+
+
 def _medoids(points: DataFrame, keys: list[str], dims: int, kmax: int, iters: int, schema_keys: str) -> DataFrame:
     """Partitioning around medoids, exactly: greedy build, then best swaps until none improves.
 
-    ``points`` are blocked and carry ``k``. Returns keys and ``medoids`` (array of ident, x).
+    ``points`` are blocked and carry ``k``. Groups of one block are solved in one task each, all in one
+    job; larger groups take one block-pair job per step. Returns keys and ``medoids`` (ident, x).
     """
+    ident_type = points.schema["ident"].dataType.simpleString()
+    medoid = f"struct<ident:{ident_type},x:array<double>>"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        chosen = [{"ident": pdf["ident"][i], "x": pdf["x"][i]} for i in _pam_one_block(pdf, iters)]
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "medoids": chosen}])
+
+    small = points.filter("blocks = 1").groupBy(*keys).applyInPandas(solve, f"{schema_keys}, medoids array<{medoid}>")
+    large = points.filter("blocks > 1")
+    if large.isEmpty():
+        return materialise(small, "medoids")
+    return materialise(small.unionByName(_medoids_by_blocks(large, keys, dims, kmax, iters, schema_keys)), "medoids")
+
+
+def _medoids_by_blocks(
+    points: DataFrame, keys: list[str], dims: int, kmax: int, iters: int, schema_keys: str
+) -> DataFrame:
     ident_type = points.schema["ident"].dataType.simpleString()
     schema = f"{schema_keys}, ident {ident_type}, x array<double>, cost array<double>"
     columns = [*keys, "ident", "x", "cost"]
@@ -376,64 +444,53 @@ def _medoids(points: DataFrame, keys: list[str], dims: int, kmax: int, iters: in
     def build(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-        dist = _distances(a, b)
-        return frame(a, np.minimum(dist, b["d1"].to_numpy()[None, :]).sum(axis=1)[:, None])
+        return frame(a, _build_cost(_distances(a, b), b["d1"].to_numpy())[:, None])
 
     def swap(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=columns)
-        dist = _distances(a, b)
         d1, d2, near = (b[c].to_numpy() for c in ("d1", "d2", "near"))
-        count = int(a["k"].iloc[0])
-        gain = np.minimum(dist - d1[None, :], 0.0)
-        lost = np.minimum(dist, d2[None, :]) - d1[None, :]
-        base = gain.sum(axis=1)
-        cost = np.stack(
-            [base + (lost[:, near == m] - gain[:, near == m]).sum(axis=1) for m in range(count)], axis=1
-        )
-        return frame(a, cost)
+        return frame(a, _swap_cost(_distances(a, b), d1, d2, near, int(a["k"].iloc[0])))
 
-    def totals(pairs: DataFrame) -> DataFrame:
-        """Sum block results per candidate: one row per (candidate, position)."""
-        return (
+    def best(pairs: DataFrame) -> DataFrame:
+        """Sum block results per candidate and keep the cheapest (position, candidate) of each group."""
+        totals = (
             pairs.select(*keys, "ident", "x", F.posexplode("cost").alias("pos", "part"))
             .groupBy(*keys, "ident", "pos")
             .agg(F.sum("part").alias("cost"), F.first("x").alias("x"))
         )
+        order = F.struct(F.round("cost", 9), "pos", "ident")
+        return totals.groupBy(*keys).agg(F.min_by(F.struct("ident", "x", "pos", "cost"), order).alias("b"))
 
-    best = F.min_by(F.struct("ident", "x", "pos", "cost"), F.struct(F.round("cost", 9), "pos", "ident"))
     far = points.withColumn("d1", F.lit(float("inf")))
     medoids = None
     for step in range(kmax):
-        if medoids is not None:
-            far = _nearest_two(points.filter(F.col("k") > step), medoids, keys, dims)
         source = points if medoids is None else points.filter(F.col("k") > step)
-        pick = totals(_block_pairs(source, far, keys, build, schema)).groupBy(*keys).agg(best.alias("b"))
-        new = pick.select(*keys, F.struct("b.ident", "b.x").alias("m"))
+        if medoids is not None:
+            far = _nearest_two(source, medoids, keys, dims)
+        new = best(_block_pairs(source, far, keys, build, schema)).select(
+            *keys, F.struct("b.ident", "b.x").alias("m")
+        )
         if medoids is None:
             grown = new.select(*keys, F.array("m").alias("medoids"))
         else:
+            longer = F.concat("medoids", F.array("m"))
             grown = medoids.join(new, keys, "left").select(
-                *keys,
-                F.when(F.col("m").isNull(), F.col("medoids"))
-                .otherwise(F.concat("medoids", F.array("m")))
-                .alias("medoids"),
+                *keys, F.when(F.col("m").isNull(), F.col("medoids")).otherwise(longer).alias("medoids")
             )
         medoids = materialise(grown, "medoids")
-    active = medoids
-    settled = []
+    active, settled = medoids, []
     for _ in range(iters):
         near = _nearest_two(points, active, keys, dims)
-        candidates = near
-        pick = totals(_block_pairs(candidates, near, keys, swap, schema)).groupBy(*keys).agg(best.alias("b"))
+        pick = best(_block_pairs(near, near, keys, swap, schema))
         better = F.col("b.cost") < -1e-9
         replaced = F.transform(
             "medoids", lambda m, i: F.when(i == F.col("b.pos"), F.struct("b.ident", "b.x")).otherwise(m)
         )
         turn = materialise(
-            active.select(*keys, "medoids")
-            .join(pick, keys)
-            .select(*keys, F.when(better, replaced).otherwise(F.col("medoids")).alias("medoids"), better.alias("moved")),
+            active.join(pick, keys).select(
+                *keys, F.when(better, replaced).otherwise(F.col("medoids")).alias("medoids"), better.alias("moved")
+            ),
             "swaps",
         )
         settled.append(turn.filter(~F.col("moved")).select(*keys, "medoids"))

@@ -538,7 +538,7 @@ for _id, _variant, _by_type, _dept in (
 FEATURES = ("sales", "price")
 add(
     "d55_segmentation_features",
-    "cat_key:s link_line:s rank:i sales:i price:d checkout_rate:d age_weeks:i",
+    "cat_key:s link_line:s rank:i sales:i price:f checkout_rate:f age_weeks:i",
     lambda c: c.build_segmentation(),
     "seg",
 )
