@@ -22,15 +22,23 @@ def period_sales(cal: DataFrame, f: DataFrame, last: tuple[int, int] = (2016, 32
         .select(*YW)
         .withColumn("period", F.row_number().over(Window.orderBy(*YW)))
     )
-    sold = f.filter(F.col("merchandise_key").isNotNull())
-    # Weekly totals once per product; the product list is then a by-product of the same aggregate.
-    weekly = sold.groupBy("merchandise_key", "cat_key", *YW).agg(F.sum("gross_sales_units").alias("units"))
-    products = sold.select("merchandise_key", "cat_key").distinct()
-    spine = products.withColumn("w", F.explode(week_array(weeks, "period", *YW))).select(
-        "w.fiscal_year", "w.fiscal_week", "w.period", "merchandise_key", "cat_key"
+    weekly = (
+        f.filter(F.col("merchandise_key").isNotNull())
+        .groupBy("merchandise_key", "cat_key", pack_week(*YW).alias("yw"))
+        .agg(F.sum("gross_sales_units").alias("units"))
     )
-    return spine.join(weekly, ["merchandise_key", "cat_key", *YW], "left").select(
-        *YW, "period", "merchandise_key", "cat_key", F.coalesce("units", F.lit(0)).alias("gross_sales_units")
+    # A product's recorded weeks become one map (bounded by the calendar); the numbered weeks are read
+    # off it, so there is no product x week join.
+    return (
+        weekly.groupBy("merchandise_key", "cat_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("yw", "units"))).alias("sold"))
+        .withColumn("w", F.explode(week_array(weeks, "period", *YW)))
+        .select(
+            "w.fiscal_year", "w.fiscal_week", "w.period", "merchandise_key", "cat_key",
+            F.coalesce(F.try_element_at("sold", pack_week("w.fiscal_year", "w.fiscal_week")), F.lit(0)).alias(
+                "gross_sales_units"
+            ),
+        )
     )
 
 

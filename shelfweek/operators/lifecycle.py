@@ -53,31 +53,46 @@ def first_week_inventory(f: DataFrame) -> DataFrame:
     )
 
 
-def line_life_cycle(spine: DataFrame, inv: DataFrame) -> DataFrame:
+def line_life_cycle(inv: DataFrame) -> DataFrame:
     """Zero-filled weeks of each line from launch to end of life, with cumulative measures.
 
     A line ends at its last markdown week if it was ever marked down, else at its last regular week.
+    The recorded weeks of a line (bounded by the calendar) are packed into one array; the weeks of its
+    life are exploded next to it, so neither a line x week spine nor a join is needed and the rows stay
+    partitioned by line for the running sums.
     """
-    marked = F.max(F.when(F.col("md_flag").isNotNull(), F.col("md_max_date")))
-    regular = F.max(F.when(F.col("md_flag").isNull(), F.col("md_max_date")))
-    lives = inv.groupBy("line").agg(
-        F.max("launch_date").alias("launch_date"),
-        F.max("first_wk_inv").alias("first_wk_inv"),
-        F.coalesce(marked, regular).alias("md_max_date"),
-    )
     zero = [
         "store_num_with_inventory", "store_num_with_onorder", "gross_sales_units", "net_sales_units",
         "eop_dc_inventory_units", "eop_dc_on_order_units", "eop_inventory_units", "eop_on_order_units",
     ]
-    weekly = inv.select("line", *YW, *zero, "md_flag", "md_taken_flag")
     period = pack_week(*YW)
+    weeks = week_array(inv.select(period.alias("yw")).distinct(), "yw")
+    marked = F.max(F.when(F.col("md_flag").isNotNull(), F.col("md_max_date")))
+    regular = F.max(F.when(F.col("md_flag").isNull(), F.col("md_max_date")))
+    recorded = F.struct(period.alias("yw"), *zero, "md_flag", "md_taken_flag")
     running = Window.partitionBy("line").orderBy(*YW).rowsBetween(Window.unboundedPreceding, 0)
     net = F.col("net_sales_units")
     return (
-        spine.join(lives, "line")
-        .filter(period.between(F.col("launch_date"), F.col("md_max_date")))
-        .join(weekly, ["line", *YW], "left")
-        .fillna(0, subset=zero)
+        inv.groupBy("line")
+        .agg(
+            *[F.max(c).alias(c) for c in LINE if c != "line"],
+            F.max("launch_date").alias("launch_date"),
+            F.max("first_wk_inv").alias("first_wk_inv"),
+            F.coalesce(marked, regular).alias("md_max_date"),
+            F.collect_list(recorded).alias("recorded"),
+        )
+        .withColumn("weeks", weeks)
+        .withColumn(
+            "yw",
+            F.explode(F.filter("weeks", lambda w: w.between(F.col("launch_date"), F.col("md_max_date")))),
+        )
+        .drop("weeks")
+        .withColumn("r", F.explode_outer(F.filter("recorded", lambda r: r["yw"] == F.col("yw"))))
+        .select(
+            *LINE, packed_year("yw").alias("fiscal_year"), packed_week("yw").alias("fiscal_week"), "launch_date",
+            *[F.coalesce(f"r.{c}", F.lit(0)).alias(c) for c in zero], "r.md_flag", "r.md_taken_flag", "md_max_date",
+            "first_wk_inv",
+        )
         .withColumn("cum_sales", F.sum(net).over(running))
         .withColumns(
             {
@@ -86,10 +101,6 @@ def line_life_cycle(spine: DataFrame, inv: DataFrame) -> DataFrame:
                 "age_in_weeks": week_gap("fiscal_year", "fiscal_week", "launch_date") + 1,
             }
         )
-        .select(
-            *LINE, *YW, "launch_date", *zero, "md_flag", "md_taken_flag", "md_max_date", "first_wk_inv",
-            "cum_sales", "check_out_rate", "cum_str", "age_in_weeks",
-        )
     )
 
 

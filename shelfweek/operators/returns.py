@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfweek.functions.numeric import dbl, ratio, ratio_or, trunc_avg
-from shelfweek.functions.weeks import pack_week, week_array, week_filter
+from shelfweek.functions.weeks import pack_week, packed_week, packed_year, week_array, week_filter
 
 CAT = ["dept_desc", "cat_key", "cat_desc"]
 YW = ["fiscal_year", "fiscal_week"]
@@ -66,22 +66,31 @@ def _dense_weeks(f: DataFrame, grain: Sequence[str]) -> DataFrame:
 
     Units are summed before the weeks are filled in, so the line x week spine of the reference is
     never built for category results: the sums are the same and the spine is weeks x categories.
+    A group's weeks (bounded by the calendar) are packed into one map, and the dense weeks are read off
+    it: no spine join, and the rows stay partitioned by group for the windows that follow.
     """
     seen = f.filter(F.col("fiscal_year").isNotNull() & F.col("fiscal_week").isNotNull())
-    groups = f.filter(F.col("line").isNotNull()).select(*grain).distinct()
-    spine = groups.withColumn("w", F.explode(week_array(seen.select(*YW).distinct(), *YW))).select(
-        *grain, "w.fiscal_year", "w.fiscal_week"
-    )
-    units = (
-        seen.filter(F.col("line").isNotNull())
-        .groupBy(*grain, *YW)
-        .agg(F.sum("gross_sales_units").alias("gross_sales"), F.sum("net_sales_units").alias("net_sales"))
-    )
+    weeks = week_array(seen.select(pack_week(*YW).alias("yw")).distinct(), "yw")
+    week = F.struct(F.col("gross"), F.col("net"))
     return (
-        spine.join(units, [*grain, *YW], "left")
-        .fillna(0, subset=["gross_sales", "net_sales"])
-        .withColumn("return_units", F.col("gross_sales") - F.col("net_sales"))
-        .drop("net_sales")
+        f.filter(F.col("line").isNotNull())
+        .groupBy(*grain, pack_week(*YW).alias("yw"))
+        .agg(F.sum("gross_sales_units").alias("gross"), F.sum("net_sales_units").alias("net"))
+        .groupBy(*grain)
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("yw").isNotNull(), F.struct(F.col("yw"), week)))
+            ).alias("sold")
+        )
+        .withColumn("yw", F.explode(weeks))
+        .withColumn("s", F.try_element_at("sold", F.col("yw")))
+        .select(
+            *grain,
+            packed_year("yw").alias("fiscal_year"),
+            packed_week("yw").alias("fiscal_week"),
+            F.coalesce("s.gross", F.lit(0)).alias("gross_sales"),
+            (F.coalesce("s.gross", F.lit(0)) - F.coalesce("s.net", F.lit(0))).alias("return_units"),
+        )
     )
 
 
@@ -95,7 +104,7 @@ def return_rate_ma(
     grain the frames run per line (mixing lines of a category in one frame has no defined order).
     Weeks start at the category's earliest launch.
     """
-    keys = CAT + (["line"] if grain == "line" else [])
+    keys = (["line"] if grain == "line" else []) + CAT
     by_key = Window.partitionBy(*keys).orderBy(*YW)
     df = _dense_weeks(f, keys)
     moved = shift or carry_shift

@@ -97,8 +97,7 @@ class Context:
     # ---- life cycle ----
 
     def lines(self) -> DataFrame:
-        f = self.features
-        return lifecycle.line_life_cycle(lifecycle.week_line_spine(f), lifecycle.first_week_inventory(f))
+        return lifecycle.line_life_cycle(lifecycle.first_week_inventory(self.features))
 
     def ages(self) -> DataFrame:
         return lifecycle.product_age(self.features, MIN_LAUNCH)
