@@ -154,15 +154,16 @@ def _predict(x: Column) -> Column:
 
 def drop_influential(rows: DataFrame, fit: DataFrame, key: str, p: int, terms: int) -> DataFrame:
     """Rows whose Cook's distance is at most 4 / (n - terms - 1); undefined distances are kept."""
+
+    @F.pandas_udf("double")
+    def quadratic(d: pd.Series, inverse: pd.Series) -> pd.Series:
+        if d.empty:
+            return pd.Series([], dtype=float)
+        rows = np.stack(d.to_numpy())
+        matrices = np.stack(inverse.to_numpy()).reshape(-1, p, p)
+        return pd.Series(np.einsum("ni,nij,nj->n", rows, matrices, rows))
+
     centred = F.zip_with("x", "mx", lambda a, b: a - b)
-    index = F.sequence(F.lit(0), F.lit(p - 1))
-    quadratic = F.aggregate(
-        index,
-        F.lit(0.0),
-        lambda acc, i: acc
-        + F.get("d", i)
-        * F.aggregate(index, F.lit(0.0), lambda inner, j: inner + F.get("inverse", i * p + j) * F.get("d", j)),
-    )
     leverage = F.lit(1.0) / F.col("n") + F.col("q")
     distance = F.try_divide(
         F.col("e") * F.col("e") * F.col("h"),
@@ -171,8 +172,7 @@ def drop_influential(rows: DataFrame, fit: DataFrame, key: str, p: int, terms: i
     bound = F.try_divide(F.lit(4.0), F.col("n") - terms - 1)
     return (
         rows.join(fit.select(key, "n", "rank", "intercept", "beta", "inverse", "mx", "sigma2"), key)
-        .withColumn("d", centred)
-        .withColumn("q", quadratic)
+        .withColumn("q", quadratic(centred, "inverse"))
         .withColumns({"h": leverage, "e": F.col("y") - _predict(F.col("x"))})
         .filter(F.coalesce(F.isnan(distance) | ~(distance > bound), F.lit(True)))
         .select(*rows.columns)

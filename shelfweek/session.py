@@ -53,18 +53,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/shelfweek_stages/{spark.sparkContext.applicationId}"
+
+
+_TABLES: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> DataFrame:
     """Write a stage once as Parquet in the shared folder and read it back.
 
-    With ``bucket_by`` the table is bucketed on that key, one file per bucket, so that later
-    windows and aggregates on the key start without a shuffle.
+    Losing an executor then costs a re-read, not the whole lineage, and the size of a small stage is
+    known from its files, so that Spark broadcasts it only when it really is small. With ``bucket_by``
+    the table is bucketed on that key, one file per bucket, so that later windows and aggregates on the
+    key start without a shuffle.
     """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex[:12]}"
-    path = f"{shared_dir(spark).rstrip('/')}/shelfweek_stages/{name}"
+    path = f"{_stage_root(spark)}/{name}"
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         df.repartition(buckets, bucket_by)
@@ -74,4 +83,13 @@ def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> Data
         .option("path", path)
         .saveAsTable(name)
     )
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Drop the stages this application wrote; frames built on them can no longer be run."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
