@@ -46,6 +46,16 @@ def distinct_counts(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame
     return _report(long, "distinct", F.concat_ws("|", by, "column"), F.col("n"))
 
 
+def top_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
+    """First ``n`` rows in a total order, for looking at data; Spark keeps n rows per task."""
+    return df.orderBy(*order).limit(n)
+
+
+def lines_per_category(df: DataFrame) -> DataFrame:
+    """Number of lines in each category."""
+    return df.groupBy("cat_key", "cat_desc").agg(F.count_distinct("line").alias("lines"))
+
+
 def quality_checks(
     df: DataFrame,
     keys: Sequence[str],

@@ -177,7 +177,8 @@ def md_vs_regular(f: DataFrame, shift: bool = True, last_first: int | None = Non
         return F.sum(F.when(F.col(c).isNull() | (F.col(c) == 0), 0).otherwise(units))
 
     lines = base.groupBy(*CAT, "line", "md_period_flag").agg(
-        F.count_distinct(*YW).alias("weeks_in_sales"),
+        # A line's weeks are bounded by the calendar: one set per line instead of an extra shuffle.
+        F.size(F.collect_set(pack_week(*YW))).alias("weeks_in_sales"),
         F.sum("net_sales_units").alias("net"),
         F.sum(units).alias("gross"),
         F.sum("returns_post_2wk").alias("post"),

@@ -112,7 +112,7 @@ class Context:
     def inflections(self) -> DataFrame:
         return rollups.inflection_fallback(self.all_cats, self.mh, self.category_results)
 
-    def product_level(self, variant: str = "a") -> DataFrame:
+    def build_product_level(self, variant: str = "a") -> DataFrame:
         """a: with fallback inflections; b: fitted categories only; c: without department columns."""
         infl = self.category_results if variant == "b" else self.inflections()
         columns = {"a": ("dept_desc", "dept_key", "cat_desc"), "b": ("dept_desc", "cat_desc"), "c": ()}[variant]
@@ -120,8 +120,13 @@ class Context:
             self.typed(), rollups.launches(self.ages()), self.cal, infl, LAST_RANK, columns
         )
 
+    @cached_property
+    def product_level(self) -> DataFrame:
+        """Product weeks of the elasticity data, written once: roll-ups pass over them repeatedly."""
+        return materialise(self.build_product_level(), "product_level")
+
     def keyed(self, mid_hi: int = 19) -> DataFrame:
-        return rollups.cluster_key(self.product_level(), mid_hi=mid_hi)
+        return rollups.cluster_key(self.product_level, mid_hi=mid_hi)
 
     def build_type1(self) -> DataFrame:
         return rollups.rollup_type1(self.keyed(), self.holidays, self.cal)
@@ -193,7 +198,7 @@ class Context:
             ((F.col("merchandise_key") % 5) / 10).alias("holiday_coefficient"),
         )
         return validate.validation_base(
-            self.product_level(), self.cal, self.holidays, rollups.product_cluster_map(keyed), final, factors, si,
+            self.product_level, self.cal, self.holidays, rollups.product_cluster_map(keyed), final, factors, si,
             es, baseline.trailing_baselines(self.series()), SEASONS,
         )
 

@@ -464,9 +464,9 @@ LEVEL = (
     f"merchandise_key:i cat_key:s {YW} age_weeks:i gross_sales_units:i regular_price:d final_price:d "
     "eop_dc_on_order_units:i inventory:i link_line:s cluster_number:i disc_type_flag:s infl1:i infl2:i cycle_type:s"
 )
-add("d48a_product_level", f"dept_desc:s dept_key:s cat_desc:s {LEVEL}", lambda c: c.product_level("a"), "plevel")
-add("d48b_product_level_fitted", f"dept_desc:s cat_desc:s {LEVEL}", lambda c: c.product_level("b"), "plevel_b")
-add("d48c_product_level_no_dept", LEVEL, lambda c: c.product_level("c"), "plevel")
+add("d48a_product_level", f"dept_desc:s dept_key:s cat_desc:s {LEVEL}", lambda c: c.build_product_level("a"), "plevel")
+add("d48b_product_level_fitted", f"dept_desc:s cat_desc:s {LEVEL}", lambda c: c.build_product_level("b"), "plevel_b")
+add("d48c_product_level_no_dept", LEVEL, lambda c: c.build_product_level("c"), "plevel")
 KEYED = f"merchandise_key:i cat_key:s {YW} link_line:s cluster_number:i no_link_lines:i cluster_key:s"
 add("d49a_cluster_key", KEYED, lambda c: c.keyed(19), "keyed19")
 add("d49b_cluster_key_20", KEYED, lambda c: c.keyed(20), "keyed20")
@@ -513,7 +513,7 @@ add(
 add(
     "d54a_rollup_seasonality",
     f"dept_desc:s cat_key:s {ROLL} {SHARES} none_:i regular_perc:d {LAGS} high_discount_flag:i",
-    lambda c: rollups.rollup_seasonality(c.product_level(), c.holidays, c.cal),
+    lambda c: rollups.rollup_seasonality(c.product_level, c.holidays, c.cal),
     "seasonality",
 )
 INTERIM = "dept_desc, cat_key, cat_desc, cluster_number"
@@ -527,7 +527,7 @@ for _id, _variant, _by_type, _dept in (
         " ".join(f"{g}:{_text.get(g, 's')}" for g in _group.split(", "))
         + (" disc_type_flag:s" if _by_type else "")
         + f" {ROLL} " + ("" if _by_type else SHARES) + " discount_flag:i",
-        (lambda v, t, d: lambda c: rollups.rollup_interim(c.product_level(v), c.holidays, t, d))(
+        (lambda v, t, d: lambda c: rollups.rollup_interim(c.build_product_level(v), c.holidays, t, d))(
             _variant, _by_type, _dept
         ),
         sql.interim("plevel_b" if _variant == "b" else "plevel", _group, _by_type),
@@ -719,3 +719,20 @@ add(
     UNION ALL SELECT 'coverage<400', cat_key, COUNT(*) FROM feat GROUP BY cat_key HAVING COUNT(*) < 400
     UNION ALL SELECT 'negative', 'net_sales_units', COUNT(CASE WHEN net_sales_units < 0 THEN 1 END) FROM feat""",
 )
+
+add(
+    "d71_lines_per_category",
+    "cat_key:s cat_desc:s lines:i",
+    lambda c: quality.lines_per_category(c.features.filter("fiscal_year IS NOT NULL")),
+    "SELECT cat_key, cat_desc, COUNT(DISTINCT line) AS lines FROM sold GROUP BY 1, 2",
+)
+add(
+    "o2_top_product_weeks",
+    f"merchandise_key:i {YW} gross_sales_units:i",
+    lambda c: quality.top_rows(
+        c.features.filter("merchandise_key IS NOT NULL"),
+        [F.desc("gross_sales_units"), "merchandise_key", "fiscal_year", "fiscal_week"],
+        200,
+    ),
+    "SELECT * FROM sold ORDER BY gross_sales_units DESC, merchandise_key, fiscal_year, fiscal_week LIMIT 200",
+)
