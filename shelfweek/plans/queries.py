@@ -652,6 +652,14 @@ add(
     "positive_sales:i correlation:d",
     lambda c: c.elasticity[1],
 )
+add(
+    "d65_sales_measures",
+    "cluster_key:s avg_sales:d positive_sales:i correlation:d",
+    lambda c: c.elasticity[1].filter("correlation IS NOT NULL AND NOT isnan(correlation)"),
+    """SELECT * FROM (SELECT cluster_key, AVG(capped_units) AS avg_sales, COUNT(CASE WHEN capped_units > 0 THEN 1 END) AS positive_sales,
+    CASE WHEN var_pop(disc) > 0 AND var_pop(log_units) > 0 THEN corr(log_units, disc) END AS correlation FROM prepped GROUP BY 1)
+    WHERE correlation IS NOT NULL""",
+)
 add(
     "d66_reassign_coefficients",
     "cat_key:s cluster_key:s final_co_eff_pos:d final_co_eff_first:d final_co_eff_further:d",

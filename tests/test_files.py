@@ -58,3 +58,18 @@ def test_unknown_summary_grain(spark):
 
     with pytest.raises(ValueError):
         validation_summary(spark.range(1), "nope")
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    """A Python worker without this package on its path can load the functions it is sent."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from shelfweek.functions.linear import two_sided_p
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(two_sided_p))
+    code = "import pickle; from pyspark import cloudpickle; print(pickle.load(open('f.pkl', 'rb'))(0.0, 3))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "1.0", out.stderr
