@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfweek.llm import packing, simhash
+from shelfweek.llm import packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_packing": packing.op10_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_quality_rules": quality_rules.OP7_SQL}
