@@ -25,16 +25,27 @@ BOILERPLATE_WORDS = 25  # a line with a set phrase fails if it has fewer words
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_KEPT_PERCENT = 50, 50, 50
 
 
+MARKED = "[|»›•#*$%&<>]|!!"  # texts without any of these need no look at marks in their lines
+
+
+def fragment(line: Column) -> Column:
+    """Whether a line is an unfinished fragment or boilerplate. Blank lines are not."""
+    words = F.regexp_count(line, F.lit(WORD))
+    return (~line.rlike(ENDED) & words.between(1, UNENDED_WORDS - 1)) | ((words < BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, noise, shouting, an unfinished fragment or boilerplate. Blank lines pass."""
+    """Whether a line is navigation, noise, shouting, a fragment or boilerplate. Blank lines pass.
+
+    The word count stands last in each rule: it is only made for lines with marks.
+    """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     words, marks, noise, shouts = count(WORD), count(SEPARATOR), count(NOISE), count(SHOUT)
-    return (words > 0) & (
+    return (
         ((marks >= 2) & (marks * NAVIGATION_WORDS >= words))
         | ((noise >= 2) & (noise * NOISE_WORDS >= words))
         | ((shouts >= 2) & (shouts * SHOUT_WORDS >= words))
-        | ((words < UNENDED_WORDS) & ~line.rlike(ENDED))
-        | ((words < BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
+        | fragment(line)
     )
 
 
@@ -66,7 +77,9 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
             n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
         ).otherwise(F.array().cast("array<bigint>")),
         whole + "said": F.filter(lines, lambda x: x.rlike(WORD)),
-        whole + "clean": F.filter(lines, lambda x: ~line_fails(x)),
+        whole + "clean": F.when(F.col(whole + "text").rlike(MARKED), F.filter(lines, lambda x: ~line_fails(x)))
+        .otherwise(F.filter(lines, lambda x: ~fragment(x))),
+        whole + "n_lines": F.size(lines),
     })
     windows = F.col(whole + "windows")
     step = step.withColumn(
@@ -90,11 +103,13 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform(places, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1), x + 3) - x)), F.lit(0), lambda a, x: a + x
     )
+    whole_lines = F.size(F.col(whole + "clean")) == F.col(whole + "n_lines")
     said, clean = F.col(whole + "said"), F.col(whole + "clean")
     step = step.withColumns({
         whole + "n": n.cast("long"),
         whole + "repeat": F.coalesce(covered, F.lit(0)).cast("long"),
-        whole + "kept_text": F.array_join(clean, "\n"),
+        whole + "kept_text": F.when(whole_lines, F.col(whole + "text")).otherwise(F.array_join(clean, "\n")),
+        whole + "whole": whole_lines,
     })
     total, repeat, kept_text = F.col(whole + "n"), F.col(whole + "repeat"), F.col(whole + "kept_text")
     failed = (total < MIN_WORDS) | (repeat * 100 > total * MAX_REPEAT_PERCENT)
@@ -108,7 +123,7 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
             repeat.alias("n_repeat_words"),
             failed.alias("base_failed"),
             kept_text.alias("clean_text"),
-            (~failed & (F.regexp_count(kept_text, F.lit(WORD)) * 100 >= total * MIN_KEPT_PERCENT)).alias("kept"),
+            (~failed & (F.col(whole + "whole") | (F.regexp_count(kept_text, F.lit(WORD)) * 100 >= total * MIN_KEPT_PERCENT))).alias("kept"),
         ),
     )
     return step.select(*(c for c in docs.columns if c != "quality"), "quality")
