@@ -137,3 +137,111 @@ def simhash_components(docs: DataFrame, words: int = 3, text: str = "text", key:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+BANDS, ROWS = 24, 3  # sketches of a text, and the smallest hashes that make one
+
+
+def sketches(hashes) -> list[int]:
+    """``BANDS`` sketches of a set of hashes; each holds ``ROWS`` minima under multiplications of their own."""
+    import numpy as np
+
+    rng = np.random.default_rng(20)
+    factors = rng.integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    own = np.unique(hashes)
+    own = own ^ (own >> np.uint64(31))
+    with np.errstate(over="ignore"):
+        parts = [(factors[:, None] * own[None, at : at + 2048]).min(axis=1) for at in range(0, len(own), 2048)]
+        low = np.minimum.reduce(parts).reshape(BANDS, ROWS)
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ low[:, r]
+            out ^= out >> np.uint64(32)
+    return out.view(np.int64).tolist()
+
+
+def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, same, bands): a digest of the whole word sequence, null for a text without words, and the sketches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            tokens = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in batch["text"]]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"],
+                "same": [xxhash.xxh3_128_hexdigest(b" ".join(t)) for t in tokens],
+                "bands": [sketches(shingle_hashes(text, words)) if t else [] for text, t in zip(batch["text"], tokens)],
+            })
+
+    return docs.mapInPandas(run, "doc_id long, same string, bands array<long>")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity, compared whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        kept: dict = {}
+        for batch in batches:
+            hits = []
+            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+                if b not in kept:
+                    if len(kept) > 64:
+                        kept.clear()
+                    kept[b] = np.unique(shingle_hashes(tb, words))
+                x, y = np.unique(shingle_hashes(ta, words)), kept[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hits.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.loc[hits, ["a", "b"]]
+
+    text = docs.select("doc_id", "text")
+    first = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    whole = first.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return whole.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id): texts whose sets of shingles are at least so similar are linked; see the README.
+
+    Fingerprints that differ in two bits or fewer cannot reach texts of that similarity (they differ in up to 14), so
+    candidates are texts with an equal sketch. Equal texts (words in lower case) are one class from the start and only
+    its first document goes on. In each set of texts with an equal sketch all are compared, whole, with one: the text
+    that has the most such neighbours, so a group of any size costs one pair for each member and sketch. component_id
+    is the smallest doc_id that can be reached.
+
+    Null and empty texts and texts without words are equal to each other. Rows with a null doc_id are left out.
+    Repeated rows count once. An empty table gives no rows; other columns are not read.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    found = materialise(_sketched(docs, words), "sketches")
+    firsts = materialise(found.groupBy("same").agg(F.min("doc_id").alias("low")), "classes")
+    alone = found.join(firsts.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
+    rows = alone.select("doc_id", F.explode("bands").alias("band")).distinct()
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    near = materialise(rows.join(sizes, "band"), "bands")
+    degree = near.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    ranked = near.select("doc_id", "band").join(degree, "doc_id")
+    lead = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("top"))
+    pairs = (
+        near.join(lead, "band").select(F.col("doc_id").alias("a"), (-F.col("top.minus")).alias("b")).filter("a != b").distinct()
+    )
+    linked = materialise(_similar(materialise(pairs, "pairs"), docs, words, similarity), "similar")
+    roots = components(linked, "a", "b")
+    named = firsts.join(roots, firsts.low == roots.node, "left").select("same", F.coalesce("root", "low").alias("component_id"))
+    return found.select("doc_id", "same").distinct().join(named, "same").select("doc_id", "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the near duplicates of an earlier document: the smallest doc_id of each group stays.
+
+    Of repeated rows with one doc_id one stays; rows with a null doc_id cannot be grouped and stay.
+    """
+    groups = materialise(near_duplicates(docs, words, similarity), "groups")
+    stay = groups.filter("doc_id = component_id").select("doc_id")
+    kept = docs.join(stay, "doc_id", "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty() is False:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
