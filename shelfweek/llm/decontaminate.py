@@ -16,10 +16,11 @@ from shelfweek.llm.base import small_batches, table, windows
 from shelfweek.llm.licenses import words_of
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.4  # of the score an item has against itself
+THRESHOLD = 0.5  # of the score an item has against itself
 QUESTION, ANSWER = 0.6, 0.6  # least share of the question's and the answer's word runs that the passage must hold
 RUN = 3  # words of a run
 BLOCK = 16  # postings of a block
+GROUPS = 64  # groups of items for the first bound of a passage
 ITEMS = 20_000  # items of one index; more are searched for in several passes
 PASSAGE = 100  # least words of a passage; longer items make it longer
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start long"
@@ -43,6 +44,8 @@ class Index:
     """Postings by term, in order of item; weights are shares of the item's score against itself."""
 
     def __init__(self, items: list[tuple[int, str]], document_count: int, frequency: dict[bytes, int]):
+        import numpy as np
+
         self.ids = [i for i, _ in items]
         self.sides = [question_and_answer(t) for _, t in items]
         words = [q + a for q, a in self.sides]
@@ -58,6 +61,12 @@ class Index:
             total = sum(weights.values()) or 1.0
             for t, v in weights.items():
                 self.postings[t].append((n, v / total))
+        self.term = {t: k for k, t in enumerate(self.postings)}
+        self.groups = np.zeros((len(self.term), min(GROUPS, max(len(items), 1))), dtype=np.float32)
+        for t, k in self.term.items():
+            for n, v in self.postings[t]:
+                g = n * self.groups.shape[1] // len(items)
+                self.groups[k, g] = max(self.groups[k, g], v)
         self.most = {t: max(v for _, v in p) for t, p in self.postings.items()}
         self.places = {t: [n for n, _ in p] for t, p in self.postings.items()}
         self.blocks = {t: [(p[min(k + BLOCK, len(p)) - 1][0], max(v for _, v in p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for t, p in self.postings.items()}
@@ -110,24 +119,28 @@ class Index:
     def leaks(self, words: list[bytes], threshold: float = THRESHOLD) -> dict[int, tuple]:
         """item -> (score, question overlap, answer overlap, first word of the passage) for the best passage of each.
 
-        Passages overlap by half and hold twice the longest item, so an item lies whole in one of them. A passage whose
-        words cannot reach the threshold together is not searched for.
+        Passages overlap by half and hold twice the longest item, so an item lies whole in one of them. A passage is
+        searched for only if its words can reach the threshold together for one of the groups of items.
         """
         import numpy as np
 
         half = max(PASSAGE // 2, self.longest)
-        get = self.most.get
-        most = np.fromiter((get(w, 0.0) for w in words), dtype=np.float64, count=len(words))
-        starts = np.arange(0, max(len(words), 1), half)
-        sums = np.add.reduceat(most, starts) if len(words) else np.zeros(1)
+        get = self.term.get
+        terms_at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        places = np.flatnonzero(terms_at >= 0)
+        if not len(places):
+            return {}
+        each = np.unique(places // half * len(self.term) + terms_at[places])  # a term counts once in a half
+        halves, own = np.divmod(each, len(self.term))
+        first = np.flatnonzero(np.diff(halves, prepend=-1))
+        sums = np.zeros((int(halves[-1]) + 2, self.groups.shape[1]), dtype=np.float32)
+        sums[halves[first]] = np.add.reduceat(self.groups[own], first)
         sums[:-1] += sums[1:]
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(sums >= threshold).tolist():
+        for k in np.flatnonzero(sums.max(axis=1) >= threshold * 0.999).tolist():
             low = k * half
             passage = words[low : low + 2 * half]
-            terms = {w for w in passage if w in self.most}
-            if sum(map(self.most.__getitem__, terms)) < threshold:
-                continue
+            terms = {w for w in passage if w in self.term}
             near = None
             for n, score in self.search(terms, threshold):
                 near = near if near is not None else set(windows(passage, RUN))

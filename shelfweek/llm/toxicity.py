@@ -14,7 +14,7 @@ from shelfweek.llm.base import small_batches, table
 
 LEVELS = (6, 4, 2, 0)  # characters of context, from the class models' order down the shared backoff
 DISCOUNT = 0.9
-TOXIC_ROWS, ORDINARY_ROWS = 4000, 8000  # at most so many labelled rows are fitted on, the first by hash of their id
+TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000  # at most so many labelled rows are fitted on, the first by hash of their id
 CALIBRATION_PART = 4  # every fourth of them, by hash, fits the scale of the score instead of the counts
 #: A word's log-likelihood ratio counts between these for the mean; above STRONG it is an expression of the class.
 FLOOR, STRONG, CEILING = -2.0, 3.0, 5.0
@@ -22,6 +22,7 @@ VERY, ENOUGH = 4.0, 0.015  # the share of words above VERY counts up to ENOUGH
 THRESHOLD = 0.7
 WORDS = re.compile(r"\w+")
 CACHE_WORDS = 600_000
+FIT_WORDS = 30_000  # words taken apart at a time
 
 
 def _grams(words: list[str]):
@@ -64,25 +65,30 @@ class Spelling:
         if not words:
             none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.float32)
             return cls(*none, *none)
-        hashes, owner = _grams(words)
-        top = LEVELS[0]
-        grams, first, where = np.unique(hashes[top][0], return_index=True, return_inverse=True)
-        context_of = hashes[top][1][first]
-        counts = [np.bincount(where, weights=np.asarray(c, dtype=float)[owner], minlength=len(grams)) for c in (toxic, ordinary)]
+        parts, sums = [], []
+        for at in range(0, len(words), FIT_WORDS):  # different grams only are kept, so memory follows those
+            hashes, owner = _grams(words[at : at + FIT_WORDS])
+            _, first, where = np.unique(hashes[LEVELS[0]][0], return_index=True, return_inverse=True)
+            parts.append(np.array([h[first] for level in LEVELS for h in hashes[level]]))
+            sums.append(np.array([np.bincount(where, weights=c[at : at + FIT_WORDS][owner], minlength=len(first)) for c in (toxic, ordinary)]))
+        parts, sums = np.concatenate(parts, axis=1), np.concatenate(sums, axis=1)
+        grams, first, where = np.unique(parts[0], return_index=True, return_inverse=True)
+        counts = [np.bincount(where, weights=c, minlength=len(grams)) for c in sums]
+        parts = parts[:, first]
+        context_of = parts[1]
         # shared backoff: how many different longer grams end in this one
-        chain, keep = [], first
-        for level in LEVELS[1:]:
-            gram, context = hashes[level][0][keep], hashes[level][1][keep]
-            ids, at, inverse, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        chain, keep = [], np.arange(len(grams))
+        for k in range(1, len(LEVELS)):
+            gram, context = parts[2 * k][keep], parts[2 * k + 1][keep]
+            _, at, inverse, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
             own, cinv = np.unique(context[at], return_inverse=True)
             total = np.bincount(cinv, weights=n, minlength=len(own))
             kinds = np.bincount(cinv, minlength=len(own))
             chain.append((inverse, n, total[cinv], kinds[cinv]))
             keep = keep[at]
-        shared = np.full(len(chain[-1][1]), 1e-4)
-        for k, (inverse, n, total, kinds) in reversed(list(enumerate(chain))):
-            shared = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / total
-            shared = shared[inverse]  # for the grams one level up
+        shared = np.full(len(keep), 1e-4)
+        for inverse, n, total, kinds in reversed(chain):
+            shared = ((np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / total)[inverse]  # for the grams one level up
         contexts, cinv = np.unique(context_of, return_inverse=True)
         ratio, back = np.zeros(len(grams)), np.zeros(len(contexts))
         for sign, n in zip((1, -1), counts):
