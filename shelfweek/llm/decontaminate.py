@@ -67,24 +67,31 @@ class Index:
             for n, v in self.postings[t]:
                 g = n * self.groups.shape[1] // len(items)
                 self.groups[k, g] = max(self.groups[k, g], v)
+        at = [n * self.groups.shape[1] // max(len(items), 1) for n in range(len(items))]
+        self.ranges = [(at.index(g), len(at) - at[::-1].index(g)) for g in range(self.groups.shape[1])] if items else [(0, 0)]
         self.most = {t: max(v for _, v in p) for t, p in self.postings.items()}
         self.places = {t: [n for n, _ in p] for t, p in self.postings.items()}
         self.blocks = {t: [(p[min(k + BLOCK, len(p)) - 1][0], max(v for _, v in p[k : k + BLOCK])) for k in range(0, len(p), BLOCK)] for t, p in self.postings.items()}
 
-    def search(self, terms: set[bytes], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All items whose score for these query terms reaches the threshold, by block-max WAND.
+    def search(self, terms: set[bytes], threshold: float = THRESHOLD, group: int | None = None) -> list[tuple[int, float]]:
+        """All items (of one group, or of all) whose score for these query terms reaches the threshold, by block-max WAND.
 
         Cursors are kept in order of their item. The first item at which the summed upper bounds can reach the
         threshold is the pivot; if the bounds of the blocks that hold it cannot, all skip to the end of those blocks.
         """
-        lists = [t for t in terms if t in self.postings]
-        at = dict.fromkeys(lists, 0)
+        low, high = (0, len(self.ids)) if group is None else self.ranges[group]
+        at, most = {}, {}
+        for t in terms:
+            places = self.places.get(t, ())
+            k = bisect_left(places, low)
+            if k < len(places) and places[k] < high:
+                at[t], most[t] = k, self.most[t] if group is None else float(self.groups[self.term[t], group])
         found = []
         while True:
-            live = sorted((self.places[t][at[t]], t) for t in lists if at[t] < len(self.places[t]))
+            live = sorted((n, t) for t, k in at.items() if k < len(self.places[t]) and (n := self.places[t][k]) < high)
             bound, pivot = 0.0, None
             for k, (n, t) in enumerate(live):
-                bound += self.most[t]
+                bound += most[t]
                 if bound >= threshold:
                     pivot = k
                     break
@@ -142,7 +149,8 @@ class Index:
             passage = words[low : low + 2 * half]
             terms = {w for w in passage if w in self.term}
             near = None
-            for n, score in self.search(terms, threshold):
+            hits = [h for g in np.flatnonzero(sums[k] >= threshold * 0.999).tolist() for h in self.search(terms, threshold, g)]
+            for n, score in hits:
                 near = near if near is not None else set(windows(passage, RUN))
                 q, a = self.runs[n]
                 shares = [sum(_has(r, near, passage) for r in side) / len(side) if side else 1.0 for side in (q, a)]
