@@ -113,20 +113,18 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     total, repeat, kept_text = F.col(whole + "n"), F.col(whole + "repeat"), F.col(whole + "kept_text")
     failed = (total < MIN_WORDS) | (repeat * 100 > total * MAX_REPEAT_PERCENT)
-    step = step.withColumn(
-        "quality",
-        F.struct(
-            total.alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.regexp_count(F.col(whole + "text"), F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-            (F.size(said) - F.size(F.array_distinct(said))).cast("long").alias("n_dup_lines"),
-            repeat.alias("n_repeat_words"),
-            failed.alias("base_failed"),
-            kept_text.alias("clean_text"),
-            (~failed & (F.col(whole + "whole") | (F.regexp_count(kept_text, F.lit(WORD)) * 100 >= total * MIN_KEPT_PERCENT))).alias("kept"),
-        ),
+    verdict = F.struct(
+        total.alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(F.col(whole + "text"), F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        (F.size(said) - F.size(F.array_distinct(said))).cast("long").alias("n_dup_lines"),
+        repeat.alias("n_repeat_words"),
+        failed.alias("base_failed"),
+        kept_text.alias("clean_text"),
+        (~failed & (F.col(whole + "whole") | (F.regexp_count(kept_text, F.lit(WORD)) * 100 >= total * MIN_KEPT_PERCENT))).alias("kept"),
     )
-    return step.select(*(c for c in docs.columns if c != "quality"), "quality")
+    # one row from one: a filter on the verdict stays above this step instead of repeating all of it below
+    return step.select(*(c for c in docs.columns if c != "quality"), F.explode(F.array(verdict)).alias("quality"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

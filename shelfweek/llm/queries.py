@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfweek.llm import html_text, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from shelfweek.llm import decontaminate, html_text, licenses, packing, quality_rules, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
