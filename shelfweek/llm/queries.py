@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfweek.llm import decontaminate, html_text, licenses, packing, quality_rules, simhash, toxicity, url_filter
+from shelfweek.llm import (
+    decontaminate, html_text, licenses, masked_lm, packing, quality_model, quality_rules, simhash, toxicity, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": quality_model.op1_quality_model,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_licenses": licenses.op6_licenses,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
 }
