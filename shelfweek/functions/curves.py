@@ -36,6 +36,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, iterations: int = 200) -> dict:
         damping, cost = 1e-3, np.inf
         residual = y - _logistic(x, p)
         cost = residual @ residual
+        settled = False
         for _ in range(iterations):
             e = np.exp(np.clip((p[1] - x) / p[2], -500, 500))
             base = 1 / (1 + e)
@@ -53,10 +54,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, iterations: int = 200) -> dict:
                         break
                 damping *= 4
             if not moved:
+                settled = bool(np.max(np.abs(grad)) <= 1e-6 * max(1.0, cost))
                 break
             gain = cost - new @ new
             p, residual, cost, damping = trial, new, new @ new, damping / 8
             if gain <= 1e-14 * max(cost, 1e-300) or np.max(np.abs(delta) / (np.abs(p) + 1e-9)) < 1e-10:
+                settled = True
                 break
     except (ValueError, np.linalg.LinAlgError, FloatingPointError) as failure:
         return {**none, "status": f"failed: {failure}"}
@@ -72,4 +75,4 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, iterations: int = 200) -> dict:
     second = int(np.argmin(np.where(bend <= 0, bend, np.inf))) + 2
     out["infl1"] = int(x[max(first, 1) - 1])
     out["infl2"] = int(x[min(second, n) - 1])
-    return {**out, "status": "ok"}
+    return {**out, "status": "ok" if settled else "not converged"}

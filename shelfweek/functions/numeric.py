@@ -28,14 +28,16 @@ def ratio_or(num, den, other: float = 0.0) -> Column:
 
 
 def money(c) -> Column:
-    """Double rounded half-up to cents as ``decimal(18,2)``."""
-    return (F.floor(dbl(c) * 100 + 0.5).cast("decimal(16,0)") / 100).cast(MONEY)
+    """Double rounded to cents, halves away from zero, as ``decimal(18,2)``."""
+    whole = F.floor(F.abs(dbl(c)) * 100 + 0.5).cast("decimal(16,0)")
+    return (F.when(dbl(c) < 0, -whole).otherwise(whole) / 100).cast(MONEY)
 
 
 def half_up_cents(numerator, denominator) -> Column:
-    """Integer quotient of cents rounded half-up, as ``decimal(18,2)``."""
-    num, den = _col(numerator), _col(denominator)
-    cents = F.call_function("div", num * 2 + den, den * 2)
+    """Integer quotient of cents, halves away from zero, as ``decimal(18,2)``."""
+    num, den = F.abs(_col(numerator)), F.abs(_col(denominator))
+    whole = F.call_function("div", num * 2 + den, den * 2)
+    cents = F.when((_col(numerator) < 0) != (_col(denominator) < 0), -whole).otherwise(whole)
     return (cents.cast("decimal(16,0)") / 100).cast(MONEY)
 
 

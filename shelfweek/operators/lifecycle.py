@@ -217,9 +217,12 @@ def category_age(ages: DataFrame) -> DataFrame:
     return ages.groupBy("cat_key", "age").agg(F.sum("sales").alias("sales"), F.sum("inv").alias("inv"))
 
 
-def dense_cst(cat_age: DataFrame, max_age: int = 135) -> DataFrame:
-    """Category x every age 0..max_age, running sales over initial inventory (sales + last inventory)."""
-    spine = cat_age.select("cat_key").distinct().withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(max_age))))
+def dense_cst(cat_age: DataFrame, max_age: int | None = 135) -> DataFrame:
+    """Category x every age 0..max_age (None: the largest there is), running sales over initial inventory."""
+    top = cat_age.agg(F.greatest(F.max("age"), F.lit(0)).cast("int").alias("top")) if max_age is None else None
+    spine = cat_age.select("cat_key").distinct()
+    spine = spine.join(F.broadcast(top)) if max_age is None else spine.withColumn("top", F.lit(max_age))
+    spine = spine.select("cat_key", F.explode(F.sequence(F.lit(0), "top")).alias("age"))
     whole = Window.partitionBy("cat_key")
     running = whole.orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
     stocked = F.col("inv").isNotNull()

@@ -231,7 +231,7 @@ def holdout(
             F.sum("returns_post_2wk").alias("returns_post_2wk"),
             F.count(F.lit(1)).alias("wk_cnt"),
         )
-        .filter((F.col("wk_cnt") == need) & (F.col("gross_sales_units") > 0))
+        .filter((F.col("wk_cnt") >= need) & (F.col("gross_sales_units") > 0))
     )
     flags = base.filter(week_filter((year, flag_week, flag_week))).select("line", "md_taken_flag").distinct()
     df = lines.join(flags, "line")

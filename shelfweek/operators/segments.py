@@ -237,7 +237,7 @@ def kmeans_by_group(
     cols: Sequence[str] = ("sales", "price"),
     k: int = 3,
     k_single: int | None = 2,
-    iters: int = 40,
+    iters: int = 500,
     ident: str = "link_line",
 ) -> DataFrame:
     """Input rows with ``cluster_number`` from k-means in every group at once."""
@@ -256,7 +256,7 @@ def elbow(
     by: Sequence[str] = ("cat_key",),
     cols: Sequence[str] = ("sales", "price"),
     ks: Sequence[int] = tuple(range(1, 11)),
-    iters: int = 40,
+    iters: int = 500,
     ident: str = "link_line",
 ) -> DataFrame:
     """Within-cluster sum of squares per group and k; k = 1 is (n - 1) times the summed variances."""
@@ -512,7 +512,7 @@ def kmedoids_by_group(
     k: int = 3,
     k_single: int | None = 2,
     ident: str = "link_line",
-    iters: int = 100,
+    iters: int = 500,
     block: int = BLOCK,
 ) -> DataFrame:
     """Input rows with ``cluster_number`` from k-medoids on deviation-scaled columns."""
@@ -596,12 +596,12 @@ def cluster_sweep(
     df = materialise(prepared(seg, by, cols, fraction, min_rows, ident), "scaled")
     problems = df.select(*by).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     points = materialise(_points(df, by, ident, cols), "points")
-    centres = _lloyd(points, problems, by, dims, max(ks), 40).select(*by, "k", "centres")
+    centres = _lloyd(points, problems, by, dims, max(ks), 500).select(*by, "k", "centres")
     means = _assign(points, centres, by, dims).select(
         *by, "k", F.col("ident").alias(ident), F.col("cluster").alias("cluster_number")
     )
     means = df.join(means, [*by, ident]).withColumn("method", F.lit("k-means"))
-    medoids = _kmedoids(df, problems, by, cols, max(ks), ident, 100, block).withColumn("method", F.lit("pam"))
+    medoids = _kmedoids(df, problems, by, cols, max(ks), ident, 500, block).withColumn("method", F.lit("pam"))
     keys = [*by, "method", "k"]
     labelled = materialise(means.unionByName(medoids.select(*means.columns)), "labels")
     width = silhouette_by_group(labelled, keys, "cluster_number", cols, ident, block)

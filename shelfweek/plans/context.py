@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweek.operators import baseline, elasticity, lifecycle, master, prep, rollups, segments, validate
-from shelfweek.session import materialise
+from shelfweek.session import materialise, stage_generation
 from shelfweek.sources import raw
 
-# Parameters that fit the analyses to the derived calendar (1995w01 .. 2002w52, data to 2001w45).
+# Parameters that fit the analyses to the derived calendar (1995w01 .. 2002w52). The last week comes from the data.
 AS_OF_DATE = "2001-11-30"
-AS_OF_WEEK = (2001, 45)
-LAST_WEEK = (2001, 32)
-LAST_RANK = 344  # calendar rank of LAST_WEEK
 MIN_LAUNCH = 199500
 SEG_ROWS = 6
 SEASONS = (
@@ -33,14 +30,14 @@ class Context:
     back with only the columns a query needs.
     """
 
-    _live: dict[tuple[str, str], "Context"] = {}
+    _live: dict[tuple[str, str, int], "Context"] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Context":
-        key = (spark.sparkContext.applicationId, str(sf_dir))
+        key = (spark.sparkContext.applicationId, str(sf_dir), stage_generation())
         if key not in cls._live:
             cls._live[key] = cls(spark, str(sf_dir))
         return cls._live[key]
@@ -60,6 +57,26 @@ class Context:
     def holidays(self) -> DataFrame:
         return raw.holidays(self.spark)
 
+    @cached_property
+    def _end(self) -> tuple:
+        """The last week with sales and its calendar rank, and the week after it, as of which ages count."""
+        last = tuple(self.sales.agg(F.max(F.struct("fiscal_year", "fiscal_week")).alias("w")).select("w.*").first())
+        weeks = sorted(map(tuple, self.cal.select("fiscal_year", "fiscal_week").distinct().collect()))  # one row a week
+        rank = weeks.index(last) + 1
+        return last, rank, weeks[rank]
+
+    @property
+    def last_week(self) -> tuple[int, int]:
+        return self._end[0]
+
+    @property
+    def last_rank(self) -> int:
+        return self._end[1]
+
+    @property
+    def as_of_week(self) -> tuple[int, int]:
+        return self._end[2]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or not hasattr(raw, name):
             raise AttributeError(name)
@@ -117,7 +134,7 @@ class Context:
         infl = self.category_results if variant == "b" else self.inflections()
         columns = {"a": ("dept_desc", "dept_key", "cat_desc"), "b": ("dept_desc", "cat_desc"), "c": ()}[variant]
         return rollups.product_level(
-            self.typed(), rollups.launches(self.ages()), self.cal, infl, LAST_RANK, columns
+            self.typed(), rollups.launches(self.ages()), self.cal, infl, self.last_rank, columns
         )
 
     @cached_property
@@ -141,7 +158,7 @@ class Context:
     # ---- baselines ----
 
     def series(self) -> DataFrame:
-        return baseline.period_sales(self.cal, self.features, LAST_WEEK)
+        return baseline.period_sales(self.cal, self.features, self.last_week)
 
     def smoothed_units(self) -> DataFrame:
         units = F.col("gross_sales_units").cast("double")
@@ -150,7 +167,7 @@ class Context:
     # ---- segmentation ----
 
     def build_segmentation(self) -> DataFrame:
-        return segments.segmentation_features(self.features, self.items_cda, AS_OF_WEEK)
+        return segments.segmentation_features(self.features, self.items_cda, self.as_of_week)
 
     @cached_property
     def segmentation(self) -> DataFrame:
@@ -193,7 +210,7 @@ class Context:
         si = months.join(total, "cat_key").select(
             "cat_key", "period", F.try_divide((F.col("units") * 12).cast("double"), F.col("total")).alias("new_ssn_exp")
         )
-        es = self.smoothed_units().filter(F.col("period") <= LAST_RANK).select(
+        es = self.smoothed_units().filter(F.col("period") <= self.last_rank).select(
             "cat_key", "merchandise_key", "fiscal_year", "fiscal_week", "es_fcast",
             ((F.col("merchandise_key") % 5) / 10).alias("holiday_coefficient"),
         )

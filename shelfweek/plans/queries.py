@@ -22,7 +22,7 @@ from shelfweek.operators import (
     validate,
 )
 from shelfweek.plans import oracle_tables as sql
-from shelfweek.plans.context import AS_OF_WEEK, LAST_RANK, LAST_WEEK, MIN_LAUNCH, Context
+from shelfweek.plans.context import MIN_LAUNCH, Context
 
 # Parameters of the return-rate analyses on the derived calendar.
 RR_WEEKS = (2001, 17, 32)
@@ -164,8 +164,8 @@ add(
 add(
     "d10_markdown_flag",
     f"merchandise_key:i {YW} md_taken_flag:i inventory:i max_period:i md_flag:s",
-    lambda c: c.features.filter("merchandise_key IS NOT NULL"),
-    "sold",
+    lambda c: c.features,
+    "feat",
 )
 
 # ---- exploratory metrics ------------------------------------------------------------------------------
@@ -243,13 +243,13 @@ THROUGH = f"{YW} net_sales_units:i inventory:i row_n:i units:i first_inv:i strt_
 add(
     "d18a_sell_through_category",
     f"cat_key:s {THROUGH}",
-    lambda c: lifecycle.sell_through(c.features, "cat_key", AS_OF_WEEK),
+    lambda c: lifecycle.sell_through(c.features, "cat_key", c.as_of_week),
     "sell_cat",
 )
 add(
     "d18b_sell_through_merchandise",
     f"merchandise_key:i {THROUGH}",
-    lambda c: lifecycle.sell_through(c.features, "merchandise_key", AS_OF_WEEK),
+    lambda c: lifecycle.sell_through(c.features, "merchandise_key", c.as_of_week),
     "sell_merch",
 )
 AGE = f"merchandise_key:i cat_key:s {YW} sales:i inv:i launch_date:i sales_1wk:i final_launch_date:i age:i"
@@ -270,7 +270,7 @@ add(
 add(
     "d20_dense_cst",
     "cat_key:s age:i sales:i inv:i csales:i tot_sales:i max_age:i last_inv:i initial_inv:i cst:d",
-    lambda c: lifecycle.dense_cst(lifecycle.category_age(c.ages()), 357),
+    lambda c: lifecycle.dense_cst(lifecycle.category_age(c.ages()), None),
     "dense",
 )
 add(
@@ -369,7 +369,7 @@ add(
 add(
     "d30_next_week_rate",
     f"{CAT} min_ld:i gross_sales:i wkly_rr:d ma_n_wk_rr:d pred_rr:d",
-    lambda c: returns.next_week_rate(returns.return_rate_ma(c.features), LAST_WEEK),
+    lambda c: returns.next_week_rate(returns.return_rate_ma(c.features), (RR_WEEKS[0], RR_WEEKS[2])),
     "SELECT * FROM ma13 WHERE fiscal_year = 2001 AND fiscal_week = 32",
 )
 add(
@@ -456,7 +456,7 @@ add(
 add(
     "d46_age_table",
     f"merchandise_key:i cat_key:s final_launch_date:i overall_rank:i week_rank:i {YW} age_weeks:i",
-    lambda c: rollups.age_table(rollups.launches(c.ages()), c.cal, LAST_RANK),
+    lambda c: rollups.age_table(rollups.launches(c.ages()), c.cal, c.last_rank),
     "ages",
 )
 add("d47_inflection_fallback", "cat_key:s infl1:i infl2:i", lambda c: c.inflections(), "infl")
@@ -598,7 +598,7 @@ add(
 add(
     "d62_cluster_sweep",
     "cat_key:s method:s k:i silhouette:d dunn:d wss:d",
-    lambda c: segments.cluster_sweep(c.segmentation, ks=(2, 3, 4, 5), min_rows=sql.SEG_ROWS),
+    lambda c: segments.cluster_sweep(c.segmentation, ks=(2, 3, 4, 5, 6), min_rows=sql.SEG_ROWS),
 )
 
 # ---- elasticity -------------------------------------------------------------------------------------------------
@@ -655,10 +655,9 @@ add(
 add(
     "d65_sales_measures",
     "cluster_key:s avg_sales:d positive_sales:i correlation:d",
-    lambda c: c.elasticity[1].filter("correlation IS NOT NULL AND NOT isnan(correlation)"),
+    lambda c: c.elasticity[1],
     """SELECT * FROM (SELECT cluster_key, AVG(capped_units) AS avg_sales, COUNT(CASE WHEN capped_units > 0 THEN 1 END) AS positive_sales,
-    CASE WHEN var_pop(disc) > 0 AND var_pop(log_units) > 0 THEN corr(log_units, disc) END AS correlation FROM prepped GROUP BY 1)
-    WHERE correlation IS NOT NULL""",
+    CASE WHEN var_pop(disc) > 0 AND var_pop(log_units) > 0 THEN corr(log_units, disc) END AS correlation FROM prepped GROUP BY 1)""",
 )
 add(
     "d66_reassign_coefficients",
@@ -731,8 +730,8 @@ add(
 add(
     "d71_lines_per_category",
     "cat_key:s cat_desc:s lines:i",
-    lambda c: quality.lines_per_category(c.features.filter("fiscal_year IS NOT NULL")),
-    "SELECT cat_key, cat_desc, COUNT(DISTINCT line) AS lines FROM sold GROUP BY 1, 2",
+    lambda c: quality.lines_per_category(c.features),
+    "SELECT cat_key, cat_desc, COUNT(DISTINCT line) AS lines FROM feat GROUP BY 1, 2",
 )
 add(
     "o2_top_product_weeks",

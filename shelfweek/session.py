@@ -35,7 +35,7 @@ def build_session(master: str | None = None, app: str = "shelfweek", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local master (tests) gets a temporary folder where the session names none; elsewhere that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         if current is None:
             spark.sparkContext.setCheckpointDir(path)
         return path
+    if current is None and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfweek-"))
         current = spark.sparkContext.getCheckpointDir()
@@ -60,6 +62,12 @@ def _stage_root(spark: SparkSession) -> str:
 
 
 _TABLES: dict[str, list[str]] = {}
+_cleared = 0
+
+
+def stage_generation() -> int:
+    """How often stages were cleared; whoever keeps frames built on stages keeps them for one generation only."""
+    return _cleared
 
 
 def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> DataFrame:
@@ -96,6 +104,8 @@ def materialise(df: DataFrame, label: str, bucket_by: str | None = None) -> Data
 
 def clear_stages(spark: SparkSession) -> None:
     """Drop the stages this application wrote; frames built on them can no longer be run."""
+    global _cleared
+    _cleared += 1
     for name in _TABLES.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
