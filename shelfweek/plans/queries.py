@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from shelfweek.operators import (
 )
 from shelfweek.plans import oracle_tables as sql
 from shelfweek.plans.context import MIN_LAUNCH, Context
+from shelfweek.session import shared_dir
+from shelfweek.sources import files
 
 # Parameters of the return-rate analyses on the derived calendar.
 RR_WEEKS = (2001, 17, 32)
@@ -733,6 +736,57 @@ add(
     lambda c: quality.lines_per_category(c.features),
     "SELECT cat_key, cat_desc, COUNT(DISTINCT line) AS lines FROM feat GROUP BY 1, 2",
 )
+add(
+    "d71_distinct_counts",
+    "check:s key:s value:i",
+    lambda c: quality.distinct_counts(
+        c.features.withColumn("week", F.col("fiscal_year") * 100 + F.col("fiscal_week")), "cat_key", ("week", "line")
+    ),
+    """SELECT 'distinct' AS "check", concat_ws('|', cat_key, 'week') AS "key", COUNT(DISTINCT fiscal_year * 100 + fiscal_week) AS value
+    FROM feat GROUP BY cat_key
+    UNION ALL SELECT 'distinct', concat_ws('|', cat_key, 'line'), COUNT(DISTINCT line) FROM feat GROUP BY cat_key""",
+)
+
+
+# ---- files and tables: the category ages go out through a sink and come back through a source ----
+
+CAT_AGE = "cat_key:s age:i sales:i inv:i"
+CAT_AGE_FILE = "cat_key string, age long, sales long, inv long"
+
+
+def _file(c: Context, kind: str) -> str:
+    return f"{shared_dir(c.spark).rstrip('/')}/shelfweek_files/{c.spark.sparkContext.applicationId}/{kind}_{uuid.uuid4().hex[:12]}"
+
+
+def _through_csv(c: Context) -> DataFrame:
+    path = _file(c, "csv")
+    files.write_csv(lifecycle.category_age(c.ages()), path)
+    return files.read_csv(c.spark, path, CAT_AGE_FILE)
+
+
+def _through_headerless_csv(c: Context) -> DataFrame:
+    path = _file(c, "plain")
+    lifecycle.category_age(c.ages()).write.csv(path, header=False)
+    return files.read_headerless_csv(c.spark, path, CAT_AGE_FILE)
+
+
+def _through_tsv(c: Context) -> DataFrame:
+    path = _file(c, "tsv")
+    lifecycle.category_age(c.ages()).write.csv(path, header=True, sep="\t")
+    return files.read_tsv(c.spark, path, CAT_AGE_FILE)
+
+
+def _through_table(c: Context) -> DataFrame:
+    name = f"category_age_{uuid.uuid4().hex[:12]}"
+    files.save_table(lifecycle.category_age(c.ages()), name)
+    return files.read_table(c.spark, name, ("cat_key", "age", "sales", "inv"))
+
+
+add("s4_csv", CAT_AGE, _through_csv, "cat_age")
+add("s5_headerless_csv", CAT_AGE, _through_headerless_csv, "cat_age")
+add("s6_tsv", CAT_AGE, _through_tsv, "cat_age")
+add("s9_table", CAT_AGE, _through_table, "cat_age")
+
 add(
     "o2_top_product_weeks",
     f"merchandise_key:i {YW} gross_sales_units:i",
