@@ -89,6 +89,20 @@ def test_near_duplicates(spark, edge_docs, no_docs):
     assert simhash.first_of_each(no_docs).count() == 0
 
 
+def test_near_duplicates_in_a_family(spark):
+    """Texts that share a long passage (Jaccard 0.74) hold pairs at 0.82 that no common lead connects."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    passage = [word() for _ in range(204)]
+    texts = []
+    for _ in range(270):
+        tail = [word() for _ in range(35)]
+        texts += [passage + tail, passage + tail[:12] + [word() for _ in range(23)]]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 # ---- decontamination ----
 
 
