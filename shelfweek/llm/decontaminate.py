@@ -16,9 +16,11 @@ from shelfweek.llm.base import small_batches, table, windows
 from shelfweek.llm.licenses import words_of
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5  # of the score an item has against itself
+THRESHOLD = 0.4  # of the score an item has against itself
 QUESTION, ANSWER = 0.6, 0.6  # least share of the question's and the answer's word runs that the passage must hold
+WHOLE = 0.6  # or of all runs of the item, however they fall on the two
 RUN = 3  # words of a run
+LEAST = 7  # words of an answer; shorter ones reach back into the question, up to half of the item
 BLOCK = 16  # postings of a block
 GROUPS = 64  # groups of items for the first bound of a passage
 ITEMS = 20_000  # items of one index; more are searched for in several passes
@@ -27,12 +29,14 @@ FOUND = "doc_id long, item_id long, score double, question_overlap double, answe
 
 
 def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Words of the question and of the answer: the answer is the last sentence, or the last third of a single one."""
+    """Words of the question and of the answer: the answer is the last sentence, or the last third of a single one.
+
+    A short answer has one run or two, which one changed word takes away; it is extended backwards to ``LEAST`` words.
+    """
     parts = [w for p in re.split(r"(?<=[.!?])\s+|\n", text or "") if (w := words_of(p))]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    cut = len(words) - len(words) // 3
+    words = [w for p in parts for w in p]
+    last = len(parts[-1]) if len(parts) > 1 else len(words) // 3
+    cut = len(words) - max(last, min(LEAST, len(words) // 2))
     return words[:cut], words[cut:]
 
 
@@ -49,7 +53,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.sides = [question_and_answer(t) for _, t in items]
         words = [q + a for q, a in self.sides]
-        self.runs = [(runs(q), runs(a)) for q, a in self.sides]
+        self.runs = [(runs(q), runs(a), runs(q + a)) for q, a in self.sides]
         self.longest = max(map(len, words), default=0)
         mean = sum(map(len, words)) / max(len(words), 1) or 1.0
         self.postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
@@ -152,9 +156,9 @@ class Index:
             hits = [h for g in np.flatnonzero(sums[k] >= threshold * 0.999).tolist() for h in self.search(terms, threshold, g)]
             for n, score in hits:
                 near = near if near is not None else set(windows(passage, RUN))
-                q, a = self.runs[n]
-                shares = [sum(_has(r, near, passage) for r in side) / len(side) if side else 1.0 for side in (q, a)]
-                if shares[0] >= QUESTION and shares[1] >= ANSWER and (n not in best or (score, *shares) > best[n][:3]):
+                *shares, whole = (sum(_has(r, near, passage) for r in side) / len(side) if side else 1.0 for side in self.runs[n])
+                held = whole >= WHOLE or (shares[0] >= QUESTION and shares[1] >= ANSWER)
+                if held and (n not in best or (score, *shares) > best[n][:3]):
                     best[n] = (score, *shares, low)
         return best
 
@@ -170,7 +174,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     """(doc_id, item_id, score, question_overlap, answer_overlap, start): every test item found in a document.
 
     ``items`` has item_id and text. Every passage of every whole text is a query; every item above the threshold is
-    retrieved and then verified by the shares of its question's and answer's word runs. The index is built from at
+    retrieved and then verified by the shares of its question's and answer's word runs, or of all its runs. The index is built from at
     most ``ITEMS`` items at a time, so what is broadcast is bounded; document frequencies are counted over all items.
 
     Null or empty texts hold nothing; items without words and a null item_id are left out; a null doc_id is returned as

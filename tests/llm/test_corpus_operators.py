@@ -141,6 +141,28 @@ def test_leaks(spark, small, edge_docs, no_docs):
     assert decontaminate.without_leaks(edge_docs, odd.limit(0)).count() == edge_docs.count()
 
 
+def test_leaks_with_a_changed_answer(spark):
+    """One word of the last sentence changed or cut, and copies that hold 0.4 to 0.5 of their item's score."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    common = " ".join(word() for _ in range(14))
+    filler = " ".join(word() for _ in range(120))
+    items, docs = [], []
+    for i in range(20):
+        body = " ".join(word() for _ in range(24))
+        last = [word() for _ in range(1 + i % 4)]
+        items.append((i, f"{body}. {' '.join(last)}."))
+        docs += [(10 * i, f"{filler} {body}. {' '.join(['changed', *last[1:]])}. {filler}"), (10 * i + 1, f"{filler} {body}. {filler}")]
+        docs.append((10 * i + 2, f"{filler} {' '.join(body.split()[:8])}. {filler}"))
+    for i in range(100, 120):
+        rare = [word() for _ in range(5)]
+        items.append((i, f"{common} {' '.join(rare)}"))
+        docs.append((10 * i, f"{filler} {common} {' '.join(rare[:2])} {filler}"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(10 * i + k, i) for i in range(20) for k in (0, 1)} | {(10 * i, i) for i in range(100, 120)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 # ---- pipeline ----
 
 
