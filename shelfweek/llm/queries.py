@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfweek.llm import (
-    decontaminate, html_text, licenses, masked_lm, packing, quality_model, quality_rules, simhash, toxicity, url_filter,
+    best_fit, decontaminate, divergence, html_text, importance, licenses, masked_lm, packing, quality_model, quality_rules,
+    simhash, toxicity, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,5 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_lm": masked_lm.op8_masked_lm,
     "op9_html_text": html_text.op9_html_text,
     "op10_packing": packing.op10_packing,
+    "op11_importance": importance.op11_importance,
+    "op12_best_fit": best_fit.op12_best_fit,
+    "op13_divergence": divergence.op13_divergence,
+}
+SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.OP5_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
-SQL: dict[str, str] = {"op5_url_filter": url_filter.OP5_SQL, "op7_quality_rules": quality_rules.OP7_SQL}
