@@ -8,15 +8,13 @@ each node and ancestor, times the terms that share them.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfweek.llm.base import small_batches, table
+from shelfweek.llm.words import byte_table, encode, split_column
 from shelfweek.session import materialise
 
 MIN_DOCS = 30
@@ -24,9 +22,11 @@ SMOOTHING = 5
 TOP_TERMS = 50
 SALTS = 32
 TREE_CELLS = 1 << 20  # path elements of one tree, and node-ancestor combinations looked at together
-HELD = 1 << 19  # different counts, or pairs of sources, that a task holds before it hands them on
+HELD_WORDS = 1 << 22  # words that a task counts together
+HELD = 1 << 19  # pairs of sources that a task holds before it hands them on
+ROWS_OUT = 1 << 15  # of one record batch
 #: Everything but letters and bytes of other than ASCII characters becomes a space; A-Z become lower case.
-TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+TERM_BYTES = byte_table(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -40,52 +40,99 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     return out + 1
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents, as far as one task has counted them together."""
-    small_batches(docs.sparkSession)
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, dtype=np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+class _Counted:
+    """Some texts' words, to be counted together."""
+
+    def __init__(self):
+        self.words: list = []
+        self.sizes: list[np.ndarray] = []
+        self.langs: list[str] = []
+        self.sources: list[str] = []
+        self.held = 0
+
+    def add(self, langs: list[str], sources: list[str], texts) -> None:
+        words, sizes = split_column(texts, TERM_BYTES)
+        self.words.append(words)
+        self.sizes.append(sizes)
+        self.langs += langs
+        self.sources += sources
+        self.held += len(words)
+
+    def rows(self):
+        """Record batches of (lang, term, docs, row), and a fresh start."""
+        import pyarrow as pa
+
+        if not self.words:
+            return
+        words, ids, sizes = encode(self.words, np.concatenate(self.sizes))
+        langs, lang = np.unique(np.array(self.langs, dtype=object), return_inverse=True)
+        sources, source = np.unique(np.array(self.sources, dtype=object), return_inverse=True)
+        self.__init__()
+        term_bits, source_bits = len(words).bit_length(), len(sources).bit_length()
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        once, _ = _runs(doc << term_bits | ids)
+        term, docs = _runs(lang[once >> term_bits] << term_bits | once & (1 << term_bits) - 1)
+        pair, n = _runs((lang[doc] << term_bits | ids) << source_bits | source[doc])
+        start = np.append(np.searchsorted(pair >> source_bits, term), len(pair))
+        labels, names = pa.array(langs, pa.string()), pa.array(sources, pa.string())
+        for low in range(0, len(term), ROWS_OUT):
+            high = min(low + ROWS_OUT, len(term))
+            inner = slice(start[low], start[high])
+            cells = pa.StructArray.from_arrays([names.take(pa.array(pair[inner] & (1 << source_bits) - 1)), pa.array(n[inner])], ["source", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    labels.take(pa.array(term[low:high] >> term_bits)),
+                    words.take(pa.array(term[low:high] & (1 << term_bits) - 1)), pa.array(docs[low:high]),
+                    pa.ListArray.from_arrays(pa.array((start[low : high + 1] - start[low]).astype(np.int32)), cells),
+                ],
+                ["lang", "term", "docs", "row"],
+            )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = defaultdict(lambda: (Counter(), Counter()))
 
-        def emit() -> Iterator[pd.DataFrame]:
-            for (lang, source), (times, docs) in seen.items():
-                rows = pd.DataFrame({"term": [t.decode() for t in times], "n": list(times.values())})
-                rows["docs"] = [docs[t] for t in times]
-                yield rows.assign(lang=lang, source=source)[["lang", "source", "term", "n", "docs"]]
-            seen.clear()
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(lang, term, docs, row): documents and, by source, occurrences, as far as one task has counted them together."""
+    small_batches(docs.sparkSession)
 
+    def run(batches):
+        counted = _Counted()
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
-                words = text.encode().translate(TERM_BYTES).split()
-                times, docs = seen[lang, source]
-                times.update(words)
-                docs.update(set(words))
-            if sum(len(times) for times, _ in seen.values()) > HELD:
-                yield from emit()
-        yield from emit()
+            counted.add(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"))
+            if counted.held > HELD_WORDS:
+                yield from counted.rows()
+        yield from counted.rows()
 
-    return docs.mapInPandas(run, "lang string, source string, term string, n long, docs long")
+    return docs.select("lang", "source", "text").mapInArrow(
+        run, "lang string, term string, docs long, row array<struct<source: string, n: long>>"
+    )
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, n, row): terms in at least ``min_docs`` documents of their language, with their counts by source."""
-    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    rows = counts.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("row")
+    """(lang, source, term, n): counts of the terms in at least ``min_docs`` documents of their language.
+
+    Texts are counted once and the counts written; most of them are rare terms, which only their documents are read of.
+    """
+    counts = materialise(term_counts(docs), "term_counts")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    held = counts.select("lang", "term", "row").join(kept.select("lang", "term"), ["lang", "term"])
+    return (
+        held.select("lang", "term", F.inline("row")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     )
-    return rows.filter(F.col("docs") >= min_docs).select("lang", "term", "n", "row")
 
 
-def group_sizes(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def group_sizes(docs: DataFrame, entries: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang, source, place, total, terms, lang_total, base) of every occurring group.
 
     ``place`` orders the sources of a language for the tree, those with most terms first, and ``base`` is the share of
     a term the group lacks. Without kept terms, totals are 0 and ``base`` is null.
     """
-    entries = terms.select("lang", F.explode("row").alias("e"))
-    totals = entries.groupBy("lang", F.col("e.source").alias("source")).agg(
-        F.sum("e.n").alias("total"), F.count("*").alias("held")
-    )
+    totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
     langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total", "terms", "lang_total", "held")}
@@ -194,12 +241,11 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     are counted before they are ordered, so neither a hot source nor a hot term meets in one task.
     """
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    terms = materialise(kept_terms(docs, min_docs), "terms")
-    sizes = materialise(group_sizes(docs, terms), "term_groups")
+    counts = materialise(kept_terms(docs, min_docs), "kept_counts")
+    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    sizes = materialise(group_sizes(docs, counts, terms), "term_groups")
     entries = materialise(
-        terms.select("lang", "term", F.col("n").alias("lang_n"), F.explode("row").alias("e"))
-        .select("lang", "term", "lang_n", F.col("e.source").alias("source"), F.col("e.n").alias("n"))
-        .join(sizes, ["lang", "source"])
+        counts.join(terms.withColumnRenamed("n", "lang_n"), ["lang", "term"]).join(sizes, ["lang", "source"])
         .select(
             "lang", "source", "term", "place", "n", "base", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
             share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),

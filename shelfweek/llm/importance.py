@@ -10,15 +10,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweek.llm.base import small_batches, table
+from shelfweek.llm.words import byte_table, encode, split_column
 from shelfweek.session import materialise
 
 BUCKETS = 10_000
@@ -27,15 +25,10 @@ MIN_WORDS = 20
 HEAD_WORDS = 1 << 17  # a word is frequent from this fraction of all words on, so there are at most as many
 PAIR_WORDS = 1 << 10  # the most frequent of them, whose pairs are counted
 HEAD_PAIRS = 1 << 18  # a pair is frequent from this fraction of all words on
-SLICE_WORDS = 1 << 20  # different words that a task counts before it hands them on
+SLICE_WORDS = 1 << 21  # words that a task counts together
 LONGEST = 255  # bytes of a word that the shift tables serve; longer words continue a CRC byte by byte
 #: What separates words becomes a space and A-Z lower case; bytes of other than ASCII characters are word bytes.
-WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def split_words(text) -> list[bytes]:
-    """Lower-cased words of a text; none of a null."""
-    return text.encode().translate(WORD_BYTES).split() if isinstance(text, str) else []
+WORD_BYTES = byte_table(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def shift_tables(longest: int = LONGEST) -> np.ndarray:
@@ -58,7 +51,8 @@ class Buckets:
         self.sizes = np.array([len(w) for w in words] + [0], dtype=np.int64)
         self.pair_at = np.full((PAIR_WORDS + 1, PAIR_WORDS + 1), -1, dtype=np.int32)
         self.pair_at[pairs // PAIR_WORDS, pairs % PAIR_WORDS] = np.arange(len(pairs))
-        self.pair_crcs, self.pair_buckets = pair_crcs, pair_crcs % BUCKETS
+        self.pair_crcs = np.append(pair_crcs, np.uint32(0))  # the last stands for every other pair
+        self.pair_buckets = self.pair_crcs % BUCKETS
         self.shift = shift_tables().ravel()
         self.space = np.uint32(zlib.crc32(b" "))
 
@@ -69,40 +63,35 @@ class Buckets:
             ^ out[at + 768 + (crc >> 24)]
         )
 
-    def _extended(self, crc: np.ndarray, first: int, words: list[bytes], crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """CRC of each run in ``crc``, a space, and the word ``first`` places after the run's start."""
+    def _extended(self, crc: np.ndarray, crcs: np.ndarray, sizes: np.ndarray, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """CRC of each run in ``crc``, a space, and the word of the same place."""
         spaced = self._after(crc, np.ones(len(crc), dtype=np.int64)) ^ self.space
-        out = self._after(spaced, np.minimum(sizes[first:], LONGEST)) ^ crcs[first:]
-        for i in np.flatnonzero(sizes[first:] > LONGEST).tolist():
-            out[i] = zlib.crc32(words[first + i], int(spaced[i]))
+        out = self._after(spaced, np.minimum(sizes, LONGEST)) ^ crcs
+        for i in np.flatnonzero(sizes > LONGEST).tolist():
+            out[i] = zlib.crc32(words[ids[i]], int(spaced[i]))
         return out
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of the runs of one, two and three words, each by the place of its first word."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        crcs, sizes = self.crcs[at], self.sizes[at]
-        for i in np.flatnonzero(at < 0).tolist():
+    def of(self, words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the runs of one, two and three words, each by the place of its first word.
+
+        ``words`` are the different words as an Arrow array, ``ids`` the text's words as numbers among them.
+        """
+        words = words.cast("binary").to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        crcs, sizes = self.crcs[place], self.sizes[place]
+        for i in np.flatnonzero(place < 0).tolist():
             crcs[i], sizes[i] = zlib.crc32(words[i]), len(words[i])
-        near = np.where((at < 0) | (at >= PAIR_WORDS), PAIR_WORDS, at)
+        near = np.where((place < 0) | (place >= PAIR_WORDS), PAIR_WORDS, place)[ids]
+        crcs, sizes = crcs[ids], sizes[ids]
         known = self.pair_at[near[:-1], near[1:]]
         rest = np.flatnonzero(known < 0)
-        twos = self.pair_crcs[known] if len(self.pair_crcs) else np.zeros(len(known), dtype=np.uint32)
-        buckets = self.pair_buckets[known] if len(self.pair_crcs) else twos.copy()
-        if len(rest):
-            following = [words[i + 1] for i in rest.tolist()] if (sizes > LONGEST).any() else []
-            twos[rest] = self._extended(crcs[rest], 0, following, crcs[rest + 1], sizes[rest + 1])
-            buckets[rest] = twos[rest] % BUCKETS
-        threes = self._extended(twos[:-1], 2, words, crcs, sizes) if len(words) > 2 else twos[:0]
+        twos, buckets = self.pair_crcs[known], self.pair_buckets[known]
+        twos[rest] = self._extended(crcs[rest], crcs[rest + 1], sizes[rest + 1], words, ids[rest + 1])
+        buckets[rest] = twos[rest] % BUCKETS
+        threes = self._extended(twos[:-1], crcs[2:], sizes[2:], words, ids[2:])
         return crcs % BUCKETS, buckets, threes % BUCKETS
 
 
-def _flat(texts: Iterable) -> tuple[list[bytes], np.ndarray]:
-    """All words of some texts and the number of words of each."""
-    split = [split_words(t) for t in texts]
-    return [w for words in split for w in words], np.array([len(words) for words in split], dtype=np.int64)
-
-
 def _inside(sizes: np.ndarray, run: int) -> np.ndarray:
     """Which places start a run of so many words that does not leave its text."""
     text = np.repeat(np.arange(len(sizes)), sizes)
@@ -115,44 +104,55 @@ def head(docs: DataFrame, text: str = "text") -> tuple[list[bytes], np.ndarray,
     A word or pair that holds a share of all words holds it in some slice of the corpus, so tasks hand on those that
     do in their slice; of these the ones whose counted places reach the share are kept. The share bounds both tables.
     """
-    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+    def count_words(batches):
+        import pyarrow as pa
 
-        def emit() -> pd.DataFrame:
-            n = sum(seen.values())
-            rows = [("", n)] + [(w.decode(), c) for w, c in seen.items() if c * HEAD_WORDS >= n]
-            seen.clear()
-            return pd.DataFrame(rows, columns=["word", "n"])
+        held: list = []
+
+        def emit():
+            words, ids, sizes = encode([w for w, _ in held], np.concatenate([n for _, n in held]))
+            n = np.bincount(ids, minlength=len(words))
+            kept = np.flatnonzero((n > 0) & (n * HEAD_WORDS >= len(ids)))
+            held.clear()
+            yield pa.RecordBatch.from_pydict({"word": [""], "n": [len(ids)]})
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(kept)), pa.array(n[kept])], ["word", "n"])
 
         for batch in batches:
-            for value in batch["text"]:
-                seen.update(split_words(value))
-            if len(seen) > SLICE_WORDS:
-                yield emit()
-        yield emit()
-
-    rows = docs.select(F.col(text).alias("text"))
-    counted = materialise(rows.mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+            held.append(split_column(batch.column("text"), WORD_BYTES))
+            if sum(len(w) for w, _ in held) > SLICE_WORDS:
+                yield from emit()
+        if held:
+            yield from emit()
+
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counted = materialise(rows.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
     total = counted.filter("word = ''").agg(F.sum("n")).first()[0] or 0
     frequent = counted.filter((F.col("word") != "") & (F.col("n") * HEAD_WORDS >= total)).toPandas()
     frequent = frequent.sort_values(["n", "word"], ascending=[False, True])
     words = [w.encode() for w in frequent["word"]]
     near = docs.sparkSession.sparkContext.broadcast(words[:PAIR_WORDS])
 
-    def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = {w: i for i, w in enumerate(near.value)}.get
+    def count_pairs(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        first = pa.array(near.value, pa.binary()).cast(pa.string())
         seen, n = np.zeros(PAIR_WORDS * PAIR_WORDS, dtype=np.int64), 0
         for batch in batches:
-            found, sizes = _flat(batch["text"])
-            at = np.array([get(w, -1) for w in found], dtype=np.int64)
-            both = _inside(sizes, 2) & (at[:-1] >= 0) & (at[1:] >= 0) if len(at) > 1 else np.zeros(0, dtype=bool)
+            words, sizes = split_column(batch.column("text"), WORD_BYTES)
+            words, ids, sizes = encode([words], sizes)
+            if len(ids) < 2:
+                n += len(ids)
+                continue
+            at = pc.index_in(words, first).fill_null(-1).to_numpy().astype(np.int64)[ids]
+            both = _inside(sizes, 2) & (at[:-1] >= 0) & (at[1:] >= 0)
             pairs, times = np.unique(at[:-1][both] * PAIR_WORDS + at[1:][both], return_counts=True)
             seen[pairs] += times
-            n += len(at)
+            n += len(ids)
         kept = np.flatnonzero(seen * HEAD_PAIRS >= max(n, 1))
-        yield pd.DataFrame({"pair": kept, "n": seen[kept]})
+        yield pa.RecordBatch.from_pydict({"pair": kept, "n": seen[kept]})
 
-    pairs = rows.mapInPandas(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = rows.mapInArrow(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = np.array(sorted(r[0] for r in pairs.filter(F.col("n") * HEAD_PAIRS >= total).select("pair").toLocalIterator()), dtype=np.int64)
     crcs = np.array([zlib.crc32(w) for w in words], dtype=np.uint32)
     joined = [zlib.crc32(words[p // PAIR_WORDS] + b" " + words[p % PAIR_WORDS]) for p in pairs.tolist()]
@@ -162,17 +162,20 @@ def head(docs: DataFrame, text: str = "text") -> tuple[list[bytes], np.ndarray,
 def bucket_totals(docs: DataFrame, known, text: str = "text") -> np.ndarray:
     """How many features of all texts fall into each bucket."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         buckets, seen = Buckets(*known.value), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            words, sizes = _flat(batch["text"])
-            if words:
-                for run, found in enumerate(buckets.of(words), 1):
+            words, sizes = split_column(batch.column("text"), WORD_BYTES)
+            words, ids, sizes = encode([words], sizes)
+            if len(ids):
+                for run, found in enumerate(buckets.of(words, ids), 1):
                     seen += np.bincount(found[_inside(sizes, run)], minlength=BUCKETS)
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"bucket": at, "n": seen[at]})
+        yield pa.RecordBatch.from_pydict({"bucket": at, "n": seen[at]})
 
-    counted = docs.select(F.col(text).alias("text")).mapInPandas(run, "bucket long, n long")
+    counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "bucket long, n long")
     out = np.zeros(BUCKETS, dtype=np.int64)
     for bucket, n in counted.groupBy("bucket").agg(F.sum("n")).toLocalIterator():
         out[bucket] = n
@@ -192,25 +195,26 @@ def weights(docs: DataFrame, known, gain: np.ndarray, text: str = "text", key: s
     """(doc_id, n_words, n_features, weight) of every document."""
     worth = docs.sparkSession.sparkContext.broadcast(gain)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         buckets, gain = Buckets(*known.value), worth.value
         for batch in batches:
-            words, sizes = _flat(batch["text"])
+            words, sizes = split_column(batch.column("text"), WORD_BYTES)
+            words, ids, sizes = encode([words], sizes)
             stops = np.cumsum(sizes)
-            value = np.zeros(len(words) + 1, dtype=np.int64)
-            if words:
-                for run, found in enumerate(buckets.of(words), 1):
+            value = np.zeros(len(ids) + 1, dtype=np.int64)
+            if len(ids):
+                for run, found in enumerate(buckets.of(words, ids), 1):
                     inside = _inside(sizes, run)
                     value[1 : len(inside) + 1] += np.where(inside, gain[found], 0)
             value = np.cumsum(value)
-            out = batch[["doc_id"]].copy()
-            out["n_words"] = sizes
-            out["n_features"] = sizes + np.maximum(sizes - 1, 0) + np.maximum(sizes - 2, 0)
-            out["weight"] = value[stops] - value[stops - sizes]
-            yield out.astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_features long, weight long")
+            features = sizes + np.maximum(sizes - 1, 0) + np.maximum(sizes - 2, 0)
+            columns = [pa.array(a) for a in (sizes, features, value[stops] - value[stops - sizes])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_features", "weight"])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def resample(
