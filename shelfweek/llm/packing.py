@@ -10,99 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfweek.llm.base import small_batches, table
+from shelfweek.llm.tokens import WordTokenizer
 
-#: Split pattern of the tokenizers that words are taken apart for here.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WINDOW = 2048
 END_ID = 1
 BLOCK = 1 << 19  # tokens that one run of the dynamic programme looks at; its last window is carried over
-CACHE_WORDS = 600_000  # words whose ids a worker remembers; beyond that it starts afresh
+CHARACTERS = 12_000_000  # of text that are taken apart together
 SENTENCE_PENALTY, INNER_PENALTY, SEQUENCE_COST = 2, 48, 4  # in padding tokens
 INNER_STEP = 256  # distance of the cuts offered inside text without a sentence end
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordTokenizer:
-    """Ids of whole texts from a byte-level word tokenizer (NFC, lower case, split pattern, no token across white space).
-
-    A text is the run of its white-space-separated words, and a word the run of the parts its split pattern finds, so
-    ids are remembered for both, by each worker process for all its tasks; only new parts pass through the merges.
-    Words that hold anything but printable ASCII and Latin letters go through the tokenizer as they are.
-    """
-
-    def __init__(self, path: str):
-        import json
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
-        import tokenizers
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.model = Tokenizer.from_file(path)
-        self.merges = Tokenizer(self.model.model)
-        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        spec = json.loads(self.model.to_str())
-        # the fast way holds for this kind of tokenizer only
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.fast = kinds == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
-        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or b"(?!)").search
-        self.plain = re.compile(rb"[!-~]*(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-~]*)*").fullmatch
-        self.parts = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-ÿ]+|[0-9]|[^a-zß-ÿ0-9]+").findall
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as they are
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 2, dtype=bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = token.endswith("</w>") and token[:-4].endswith((".", "!", "?"))
-        kept = vars(tokenizers).setdefault("_remembered_ids", {})  # lives as long as the worker process
-        self.ids, self.part_ids = kept.setdefault(path, ({}, {}))
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        import numpy as np
-
-        for at in range(0, len(parts), 512):  # one call for many: a call costs more than a part
-            some = parts[at : at + 512]
-            text = "\n".join(some).encode().decode("latin-1").translate(self.shown | {10: " "})
-            found = self.merges.encode(text, add_special_tokens=False)
-            stops = np.searchsorted(np.array(found.word_ids), np.arange(1, len(some) + 1)).tolist()
-            ids, start = np.array(found.ids, dtype="<u4").tobytes(), 0
-            for p, stop in zip(some, stops):
-                self.part_ids[p] = ids[4 * start : 4 * stop]
-                start = stop
-
-    def _learn(self, words: list[bytes]) -> None:
-        import numpy as np
-
-        plain, special, parts, split = self.plain, self.special, self.parts, {}
-        for w in words:
-            if self.fast and plain(w) and not special(w):
-                split[w] = parts(w.decode().lower())
-            else:
-                found = self.model.encode(w.decode("utf-8"), add_special_tokens=False)
-                self.ids[w] = np.array(found.ids, dtype="<u4").tobytes()
-        self._learn_parts(list(set().union(*split.values()).difference(self.part_ids)))
-        get = self.part_ids.__getitem__
-        self.ids.update({w: b"".join(map(get, p)) for w, p in split.items()})
-
-    def encode(self, texts) -> list:
-        """For each text its ids as a uint32 array."""
-        import numpy as np
-
-        words = [(t or "").encode("utf-8").split() for t in texts]
-        new = list(set().union(*words).difference(self.ids))
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            self.ids.clear()
-            new = list(set().union(*words))
-        if len(self.part_ids) > CACHE_WORDS:
-            self.part_ids.clear()
-        self._learn(new)
-        get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), dtype="<u4") for w in words]
-
-
 def best_cuts(cuts: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Indexes into ``cuts`` (ascending, from 0; neighbours at most ``window`` apart) of the cheapest chain from first to last.
 
@@ -208,6 +126,20 @@ class Packer:
         return out
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches joined up to ``CHARACTERS``: the more text at once, the fewer words are new."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(batch["text"].str.len().sum())
+        if size > CHARACTERS:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``window`` tokens (a power of two).
 
@@ -230,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, text: str = "tex
         names = [c.split()[0] for c in PIECES.split(", ")]
         end = np.array([END_ID], dtype="<u4")
         frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-        for batch in batches:
+        for batch in _together(batches):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch["doc_id"], words.encode(batch["text"])):
                 rows += packer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate([ids, end]))
