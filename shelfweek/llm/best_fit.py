@@ -20,10 +20,11 @@ from shelfweek.session import materialise
 
 WINDOW = 2048
 END_ID = 0
-STEP = 0.5  # share of its scarcest length that one configuration may use up at a time
-RATE = 0.002  # learning rate of the multiplicative weights, so about the waste that a lagging length is worth
+STEP = 0.25  # share of its scarcest length that a configuration gains at a time
+RATE = 0.5  # learning rate of the multiplicative weights
+SLACK = 0.01  # a configuration is good enough if it is worth at most this share less than the best
 COLUMNS_A_TURN = 32  # configurations taken from one solution of the knapsack
-TURNS = 400  # solutions of the knapsack; what they leave is packed by best fit
+TURNS = 400  # solutions of the knapsack, half of them to learn prices only
 COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,11 +47,11 @@ def best_fills(value: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def priced(value: np.ndarray, window: int) -> Iterator[dict[int, int]]:
     """Configurations (length: copies) worth the most, and after it those of every other first length that are worth at
-    most ``RATE`` less."""
+    most ``SLACK`` less."""
     best, taken = best_fills(value, window)
     worth = value[1:] + best[window - 1 :: -1][:window]
     order = np.argsort(-worth, kind="stable")[:COLUMNS_A_TURN]
-    for first in order[worth[order] >= (1 - RATE) * best[window]].tolist():
+    for first in order[worth[order] >= (1 - SLACK) * best[window]].tolist():
         made, room = {first + 1: 1}, window - first - 1
         while room:
             length = int(taken[room])
@@ -64,36 +65,37 @@ def configurations(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple
     """Multiplicities of configurations for ``counts[l]`` pieces of each length l, and the pieces they leave.
 
     The covering program "each length as often as it occurs, by as few configurations as possible" is solved by
-    multiplicative weights: a length's price starts at its tokens and falls by ``exp(-RATE * share covered)``, and the
-    knapsack finds the configurations of the greatest price, each of which is used until half of its scarcest length
-    is gone. Multiplicities are rounded down to whole numbers within what is left of every length. A length of which
-    fewer pieces are left than fit one window is no longer on offer, and the program ends once the best configuration
-    leaves more than ``RATE`` of the window empty.
+    multiplicative weights: a length's price is its tokens times ``exp(-RATE * its coverage)``, the knapsack finds the
+    configurations of the greatest price, and each is used until its scarcest length gained ``STEP`` of its count. Lengths
+    that fit badly with others lag and grow dear until they come first. The average of the later turns, divided by the median
+    coverage and rounded down within what is left of every length, is the answer; what it leaves is for best fit.
     """
-    left, tokens = counts.astype(np.int64).copy(), np.arange(window + 1, dtype=np.float64)
-    full, weight, found = np.maximum(counts, 1), np.ones(window + 1), {}
-    fits = np.zeros(window + 1, dtype=np.int64)
-    fits[1:] = window // np.arange(1, window + 1)
-    for _ in range(TURNS):
-        offered = (left >= fits) & (left > 0)
-        offered[0] = False
-        if not offered.any():
-            break
-        used = False
-        for made in priced(np.where(offered, tokens * weight, -np.inf), window):
+    offered = counts > 0
+    offered[0] = False
+    left = counts.astype(np.int64).copy()
+    if not offered.any():
+        return [], left
+    tokens, full = np.arange(window + 1, dtype=np.float64), np.maximum(counts, 1)
+    covered, learnt, used = np.zeros(window + 1), np.zeros(window + 1), {}
+    for turn in range(TURNS):
+        if turn == TURNS // 2:
+            learnt, used = covered.copy(), {}
+        price = tokens * np.exp(-RATE * (covered - covered[offered].min()))
+        for made in priced(np.where(offered, price, -np.inf), window):
             lengths, copies = np.array(list(made)), np.array(list(made.values()))
-            times = int(max(1, (STEP * full[lengths] // copies).min()))
-            times = min(times, int((left[lengths] // copies).min()))
-            if not times or lengths @ copies < (1 - RATE) * window:
-                continue
-            used = True
-            left[lengths] -= times * copies
-            weight[lengths] *= np.exp(-RATE * times * copies / full[lengths])
+            times = (STEP * full[lengths] / copies).min()
+            covered[lengths] += times * copies / full[lengths]
             key = tuple(sorted(made.items(), reverse=True))
-            found[key] = found.get(key, 0) + times
-        if not used:
-            break
-    return [(dict(k), n) for k, n in found.items()], left
+            used[key] = used.get(key, 0.0) + times
+    scale = max(float(np.median((covered - learnt)[offered])), STEP)
+    out = []
+    for key, share in sorted(used.items(), key=lambda u: (-u[1], u[0])):
+        lengths, copies = np.array(key).T
+        times = min(int(share / scale), int((left[lengths] // copies).min()))
+        if times:
+            left[lengths] -= times * copies
+            out.append((dict(key), times))
+    return out, left
 
 
 def fill_best_fit(made: list[tuple[dict[int, int], int]], left: np.ndarray, window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
