@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from shelfweek.functions.numeric import exact_avg, fixed_avg, link_line, ratio, trunc_avg
 from shelfweek.functions.order_stats import quantiles
 from shelfweek.functions.weeks import packed_week, packed_year
+from shelfweek.operators.kmeans import best_centres, square
 from shelfweek.session import checkpointed, materialise
 
 BLOCK = 2048
@@ -126,11 +127,6 @@ def _points(df: DataFrame, by: list[str], ident: str, cols: Sequence[str]) -> Da
     return df.select(*by, F.col(ident).alias("ident"), x.alias("x"))
 
 
-def _square(a: Column, b: Column, dims: int) -> Column:
-    parts = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dims)]
-    return sum(parts[1:], parts[0])
-
-
 def _default_k(df: DataFrame, by: list[str], cols: Sequence[str], k: int, k_single: int | None) -> DataFrame:
     """(by, k): ``k_single`` clusters where a single feature is left."""
     left = sum((F.max(F.col(c).isNotNull().cast("int")) for c in cols), F.lit(0))
@@ -138,37 +134,9 @@ def _default_k(df: DataFrame, by: list[str], cols: Sequence[str], k: int, k_sing
     return df.groupBy(*by).agg(pick.cast("int").alias("k"))
 
 
-def _chains(points: DataFrame, by: list[str], dims: int, length: int) -> DataFrame:
-    """Farthest-first chains of start points per group, from several deterministic first points."""
-    mean = points.groupBy(*by).agg(F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("mean"))
-    x = F.col("x")
-    spread = points.join(mean, by).withColumn("off", _square(x, F.col("mean"), dims))
-    firsts = spread.groupBy(*by).agg(
-        F.array(
-            F.min_by("x", F.struct("off", "ident")),
-            F.max_by("x", F.struct("off", "ident")),
-            F.min_by("x", F.struct(x[0], F.col("ident"))),
-            F.max_by("x", F.struct(x[0], F.col("ident"))),
-        ).alias("firsts")
-    )
-    chain = firsts.select(*by, F.posexplode("firsts").alias("start", "p")).select(
-        *by, "start", F.array("p").alias("chain")
-    )
-    for _ in range(length - 1):
-        near = F.array_min(F.transform("chain", lambda c: _square(x, c, dims)))
-        chain = (
-            points.join(chain, by)
-            .withColumn("near", near)
-            .groupBy(*by, "start")
-            .agg(F.first("chain").alias("c"), F.max_by("x", F.struct("near", "ident")).alias("p"))
-            .select(*by, "start", F.concat("c", F.array("p")).alias("chain"))
-        )
-    return chain
-
-
 def _assign(points: DataFrame, centres: DataFrame, by: list[str], dims: int) -> DataFrame:
     x = F.col("x")
-    squares = F.transform("centres", lambda c: _square(x, c, dims))
+    squares = F.transform("centres", lambda c: square(x, c, dims))
     return (
         points.join(centres, by)
         .withColumn("squares", squares)
@@ -178,59 +146,6 @@ def _assign(points: DataFrame, centres: DataFrame, by: list[str], dims: int) ->
     )
 
 
-def _lloyd(points: DataFrame, problems: DataFrame, by: list[str], dims: int, kmax: int, iters: int) -> DataFrame:
-    """Best centres per (by, k) over all starts: by, k, centres, wss.
-
-    One turn is one join with the centres and one aggregate whose partial sums are a few numbers per
-    (problem, task); an emptied cluster keeps its centre. Turns run in batches until nothing improves.
-    """
-    keys = [*by, "k", "start"]
-    centres = (
-        _chains(points, by, dims, kmax)
-        .join(problems, by)
-        .select(*keys, F.slice("chain", 1, F.col("k")).alias("centres"))
-    )
-    centres = materialise(centres, "starts")
-    sums = [F.sum("d2").alias("wss"), F.first("centres").alias("old")]
-    for j in range(kmax):
-        mine = F.col("cluster") == j + 1
-        sums.append(F.count_if(mine).alias(f"n_{j}"))
-        sums += [F.sum(F.when(mine, F.col("x")[i])).alias(f"s_{j}_{i}") for i in range(dims)]
-    moved_centres = F.array(
-        *[
-            F.when(F.col(f"n_{j}") > 0, F.array(*[F.col(f"s_{j}_{i}") / F.col(f"n_{j}") for i in range(dims)]))
-            .otherwise(F.get("old", F.lit(j)))
-            for j in range(kmax)
-        ]
-    )
-    previous = None
-    for turn in range(iters):
-        moved = (
-            _assign(points, centres, by, dims)
-            .groupBy(*keys)
-            .agg(*sums)
-            .select(*keys, F.slice(moved_centres, 1, F.col("k")).alias("centres"), "wss")
-        )
-        centres = moved.drop("wss")
-        if turn % 4 == 3 or turn == iters - 1:
-            stage = materialise(moved, "centres")
-            centres = stage.drop("wss")
-            total = stage.agg(F.sum("wss")).first()[0]
-            if previous is not None and abs(previous - total) <= 1e-10 * max(abs(total), 1.0):
-                break
-            previous = total
-    final = (
-        _assign(points, centres, by, dims)
-        .groupBy(*keys)
-        .agg(F.sum("d2").alias("wss"), F.first("centres").alias("centres"))
-    )
-    # Starts that end in the same optimum differ by rounding only; the first of them is taken.
-    return final.groupBy(*by, "k").agg(
-        F.min("wss").alias("wss"),
-        F.min_by("centres", F.struct(F.round("wss", 9), "start")).alias("centres"),
-    )
-
-
 def kmeans_by_group(
     df: DataFrame,
     by: Sequence[str] = ("cat_key",),
@@ -239,14 +154,16 @@ def kmeans_by_group(
     k_single: int | None = 2,
     iters: int = 500,
     ident: str = "link_line",
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Input rows with ``cluster_number`` from k-means in every group at once."""
+    """Input rows with ``cluster_number`` from k-means in every group at once; ``converged`` is false where labels still
+    moved after ``iters`` turns."""
     by = list(by)
     points = materialise(_points(df, by, ident, cols), "points")
     problems = _default_k(df, by, cols, k, k_single)
-    best = _lloyd(points, problems, by, len(cols), k, iters)
-    labels = _assign(points, best.select(*by, "centres"), by, len(cols)).select(
-        *by, F.col("ident").alias(ident), F.col("cluster").alias("cluster_number")
+    best = best_centres(points, problems, by, len(cols), k, iters, block)
+    labels = _assign(points, best.select(*by, "centres", "converged"), by, len(cols)).select(
+        *by, F.col("ident").alias(ident), F.col("cluster").alias("cluster_number"), "converged"
     )
     return df.join(labels, [*by, ident])
 
@@ -258,12 +175,14 @@ def elbow(
     ks: Sequence[int] = tuple(range(1, 11)),
     iters: int = 500,
     ident: str = "link_line",
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Within-cluster sum of squares per group and k; k = 1 is (n - 1) times the summed variances."""
+    """Within-cluster sum of squares per group and k, and whether its labels came to rest; k = 1 is (n - 1) times the
+    summed variances."""
     by = list(by)
     points = materialise(_points(df, by, ident, cols), "points")
     problems = df.select(*by).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
-    return _lloyd(points, problems, by, len(cols), max(ks), iters).select(*by, "k", "wss")
+    return best_centres(points, problems, by, len(cols), max(ks), iters, block).select(*by, "k", "wss", "converged")
 
 
 # ---- block against block ------------------------------------------------------------------------
@@ -362,7 +281,7 @@ def _mad_scaled(df: DataFrame, by: list[str], cols: Sequence[str]) -> DataFrame:
 def _nearest_two(points: DataFrame, medoids: DataFrame, keys: list[str], dims: int) -> DataFrame:
     """Distance to and index of the nearest medoid, and the distance to the second nearest."""
     x = F.col("x")
-    dist = F.transform("medoids", lambda m: F.sqrt(_square(x, m["x"], dims)))
+    dist = F.transform("medoids", lambda m: F.sqrt(square(x, m["x"], dims)))
     return (
         points.join(medoids.select(*keys, "medoids"), keys)
         .withColumn("ds", dist)
@@ -596,7 +515,7 @@ def cluster_sweep(
     df = materialise(prepared(seg, by, cols, fraction, min_rows, ident), "scaled")
     problems = df.select(*by).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     points = materialise(_points(df, by, ident, cols), "points")
-    centres = _lloyd(points, problems, by, dims, max(ks), 500).select(*by, "k", "centres")
+    centres = best_centres(points, problems, by, dims, max(ks), 500, block).select(*by, "k", "centres")
     means = _assign(points, centres, by, dims).select(
         *by, "k", F.col("ident").alias(ident), F.col("cluster").alias("cluster_number")
     )
@@ -616,7 +535,7 @@ def cluster_sweep(
     within = (
         tagged.join(centre, [*keys, "label"])
         .groupBy(*keys)
-        .agg(F.sum(_square(F.col("x"), F.col("centre"), dims)).alias("wss"))
+        .agg(F.sum(square(F.col("x"), F.col("centre"), dims)).alias("wss"))
     )
     return silhouette.join(_dunn(_blocked(tagged, keys, block), keys), keys).join(within, keys)
 

@@ -22,6 +22,7 @@ from shelfweek.operators import (
     segments,
     validate,
 )
+from shelfweek.plans import oracle_models as models
 from shelfweek.plans import oracle_tables as sql
 from shelfweek.plans.context import MIN_LAUNCH, Context
 from shelfweek.session import shared_dir
@@ -561,7 +562,7 @@ add(
     """SELECT cat_key, 1 AS k, (COUNT(*) - 1) * (COALESCE(var_samp(sales), 0) + COALESCE(var_samp(price), 0)) AS wss
     FROM scaled GROUP BY 1""",
 )
-add("d58_elbow", "cat_key:s k:i wss:d", lambda c: segments.elbow(c.scaled))
+add("d58_elbow", "cat_key:s k:i wss:d", lambda c: segments.elbow(c.scaled), "SELECT cat_key, k, wss FROM elbows_best")
 add(
     "d59a_kmeans_four_on_three",
     "cat_key:s link_line:s cluster_number:i",
@@ -569,21 +570,25 @@ add(
         segments.prepared(c.segmentation, cols=THREE, fraction=None, min_rows=sql.SEG_ROWS), cols=THREE, k=4,
         k_single=None,
     ),
+    models.kmeans_labels("fours", 3),
 )
 add(
     "d59b_kmeans_three",
     "cat_key:s link_line:s cluster_number:i",
     lambda c: segments.kmeans_by_group(c.scaled, k=3, k_single=None),
+    models.kmeans_labels("threes", 2),
 )
 add(
     "d59c_kmeans_three_or_two",
     "cat_key:s link_line:s cluster_number:i",
     lambda c: segments.kmeans_by_group(c.scaled),
+    models.kmeans_labels("usual", 2),
 )
 add(
     "d60_kmedoids",
     "cat_key:s link_line:s cluster_number:i",
     lambda c: segments.kmedoids_by_group(c.scaled),
+    models.MEDOIDS,
 )
 add(
     "d60_silhouette",
@@ -597,11 +602,13 @@ add(
     "d61_best_segmentation",
     "cat_key:s link_line:s rank:i sales:i price:d cluster_number:i silhouette_width:d type:s",
     lambda c: segments.best_segmentation(c.segmentation, min_rows=sql.SEG_ROWS),
+    models.BEST,
 )
 add(
     "d62_cluster_sweep",
     "cat_key:s method:s k:i silhouette:d dunn:d wss:d",
     lambda c: segments.cluster_sweep(c.segmentation, ks=(2, 3, 4, 5, 6), min_rows=sql.SEG_ROWS),
+    models.SWEEP,
 )
 
 # ---- elasticity -------------------------------------------------------------------------------------------------
