@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfweek.operators.blocks import BLOCK, matrix, packed, point_hash, rows
 from shelfweek.session import materialise
 
 CHAINS = 4
@@ -20,11 +21,6 @@ SAMPLES = tuple(((2 * s + 1) * 0x9E3779B97F4A7C1) % (1 << 60) for s in range(16)
 STARTS = CHAINS + len(SAMPLES)
 
 
-def point_hash(ident: Column) -> Column:
-    """60 bits of a point's identity, the same in any engine with MD5."""
-    return F.conv(F.substring(F.md5(ident.cast("string")), 1, 15), 16, 10).cast("long")
-
-
 def square(a: Column, b: Column, dims: int) -> Column:
     parts = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dims)]
     return sum(parts[1:], parts[0])
@@ -92,35 +88,12 @@ def solve_block(x: np.ndarray, hashes: np.ndarray, k: int, iters: int) -> tuple[
     return float(wss[best]), centres[best], best not in active
 
 
-def packed(points: DataFrame, by: list[str], block: int) -> DataFrame:
-    """(by, blk, blocks, cells): points (ident, h, x) in hash blocks of about ``block`` rows, in the order of ident."""
-    size = points.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    cell = F.struct("ident", point_hash(F.col("ident")).alias("h"), "x")
-    return (
-        points.join(size, by).withColumn("blk", F.pmod(F.xxhash64("ident"), F.col("blocks")).cast("int"))
-        .groupBy(*by, "blocks", "blk").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    )
-
-
 def _fields(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
 
-def _rows(batches):
-    """Rows of Arrow batches as dicts, one at a time: a row holds a whole block."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            yield batch.slice(at, 1)
-
-
-def _points_of(row) -> tuple[np.ndarray, np.ndarray]:
-    cells = row.column("cells").flatten()
-    x = np.array(cells.field("x").to_pylist(), dtype=np.float64)
-    return x, cells.field("h").to_numpy(zero_copy_only=False)
-
-
 def best_centres(
-    points: DataFrame, problems: DataFrame, by: list[str], dims: int, kmax: int, iters: int = 500, block: int = 2048
+    points: DataFrame, problems: DataFrame, by: list[str], dims: int, kmax: int, iters: int = 500, block: int = BLOCK
 ) -> DataFrame:
     """(by, k, wss, centres, converged): the best of ``STARTS`` starts for each row (by, k) of ``problems``.
 
@@ -135,8 +108,9 @@ def best_centres(
     def small(batches):
         import pyarrow as pa
 
-        for row in _rows(batches):
-            x, hashes = _points_of(row)
+        for row in rows(batches):
+            cells = row.column("cells").flatten()
+            x, hashes = matrix(cells), cells.field("h").to_numpy(zero_copy_only=False)
             for k in row.column("ks")[0].as_py():
                 wss, centres, done = solve_block(x, hashes, k, iters)
                 yield pa.RecordBatch.from_arrays(
@@ -190,21 +164,22 @@ def _by_turns(blocks: DataFrame, points: DataFrame, problems: DataFrame, by: lis
     def sums(batches):
         import pyarrow as pa
 
-        for row in _rows(batches):
-            x, hashes = _points_of(row)
+        for row in rows(batches):
+            cells = row.column("cells").flatten()
+            x, hashes = matrix(cells), cells.field("h").to_numpy(zero_copy_only=False)
             held = row.column("held")[0].as_py()
             for k in sorted({p["k"] for p in held}):
                 mine = [p for p in held if p["k"] == k]
                 labels, n, total, squares = _turn(x, np.array([p["centres"] for p in mine]))
                 # 31 bits of each hash, so that a sum over any number of blocks stays whole
                 marks = ((labels + 1) * (hashes & 0x7FFFFFFF)[:, None]).sum(axis=0)
-                rows = len(mine) * k
+                cases = len(mine) * k
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.concat_arrays([row.column(c)] * rows) for c in by), pa.array(np.full(rows, k, dtype=np.int32)),
+                        *(pa.concat_arrays([row.column(c)] * cases) for c in by), pa.array(np.full(cases, k, dtype=np.int32)),
                         pa.array(np.repeat([p["start"] for p in mine], k).astype(np.int32)),
                         pa.array(np.tile(np.arange(k, dtype=np.int32), len(mine))), pa.array(n.ravel().astype(np.int64)),
-                        pa.array(total.reshape(rows, -1).tolist()), pa.array(np.repeat(marks, k)), pa.array(np.repeat(squares, k)),
+                        pa.array(total.reshape(cases, -1).tolist()), pa.array(np.repeat(marks, k)), pa.array(np.repeat(squares, k)),
                     ],
                     [*keys, "j", "n", "s", "mark", "squares"],
                 )

@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 from shelfweek.functions.numeric import exact_avg, fixed_avg, link_line, ratio, trunc_avg
 from shelfweek.functions.order_stats import quantiles
 from shelfweek.functions.weeks import packed_week, packed_year
+from shelfweek.operators.blocks import BLOCK, compared, distances, dunn, matrix, packed, rows, silhouettes
 from shelfweek.operators.kmeans import best_centres, square
 from shelfweek.session import checkpointed, materialise
 
-BLOCK = 2048
-
 
 def segmentation_features(
     f: DataFrame, items_cda: DataFrame, as_of: tuple[int, int] = (2016, 37), location: str = "AA"
@@ -226,47 +225,11 @@ def silhouette_by_group(
 ) -> DataFrame:
     """Input rows with ``silhouette_width`` (Euclidean; 0 for a cluster of one)."""
     by = list(by)
-    points = _points(df, by, ident, cols).join(
-        df.select(*by, F.col(ident).alias("ident"), F.col(label).cast("int").alias("label")), [*by, "ident"]
-    )
-    points = _blocked(points, by, block)
-    ident_type = df.schema[ident].dataType.simpleString()
-    schema = f"{_key_schema(df, by)}, ident {ident_type}, label int, other int, total double, n bigint"
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*by, "ident", "label", "other", "total", "n"])
-        dist = _distances(a, b)
-        labels = b["label"].to_numpy()
-        parts = []
-        for value in np.unique(labels):
-            mask = labels == value
-            part = a[[*by, "ident", "label"]].copy()
-            part["other"], part["total"], part["n"] = int(value), dist[:, mask].sum(axis=1), int(mask.sum())
-            parts.append(part)
-        return pd.concat(parts)
-
-    own = F.col("label") == F.col("other")
-    mean_other = F.when(~own, F.col("total") / F.col("n"))
-    width = (
-        _block_pairs(points, points, by, sums, schema)
-        .groupBy(*by, "ident", "label", "other")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .groupBy(*by, "ident")
-        .agg(
-            F.max(F.when(own, F.try_divide(F.col("total"), F.col("n") - 1))).alias("a"),
-            F.max(F.when(own, F.col("n"))).alias("own_n"),
-            F.min(mean_other).alias("b"),
-        )
-        .select(
-            *by,
-            F.col("ident").alias(ident),
-            F.when(F.col("own_n") == 1, 0.0)
-            .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-            .alias("silhouette_width"),
-        )
-    )
-    return df.join(width, [*by, ident])
+    labels = df.select(*by, F.col(ident).alias("ident"), F.array(F.col(label).cast("int")).alias("labels"))
+    points = _points(df, by, ident, cols).join(labels, [*by, "ident"])
+    kmax = df.agg(F.max(F.col(label).cast("int"))).first()[0] or 1
+    width = silhouettes(compared(points, by, kmax, block), by)
+    return df.join(width.select(*by, F.col("ident").alias(ident), "silhouette_width"), [*by, ident])
 
 
 def _mad_scaled(df: DataFrame, by: list[str], cols: Sequence[str]) -> DataFrame:
@@ -278,12 +241,12 @@ def _mad_scaled(df: DataFrame, by: list[str], cols: Sequence[str]) -> DataFrame:
     return df2.join(mad, by).withColumns(scaled).select(*df.columns)
 
 
-def _nearest_two(points: DataFrame, medoids: DataFrame, keys: list[str], dims: int) -> DataFrame:
+def _nearest_two(points: DataFrame, medoids: DataFrame, keys: list[str], dims: int, more: Sequence[str] = ()) -> DataFrame:
     """Distance to and index of the nearest medoid, and the distance to the second nearest."""
     x = F.col("x")
     dist = F.transform("medoids", lambda m: F.sqrt(square(x, m["x"], dims)))
     return (
-        points.join(medoids.select(*keys, "medoids"), keys)
+        points.join(medoids.select(*keys, *more, "medoids"), keys)
         .withColumn("ds", dist)
         .withColumn("d1", F.array_min("ds"))
         .withColumn("near", (F.array_position("ds", F.col("d1")) - 1).cast("int"))
@@ -305,47 +268,62 @@ def _swap_cost(dist: np.ndarray, d1: np.ndarray, d2: np.ndarray, near: np.ndarra
     return np.stack([base + (lost[:, near == m] - gain[:, near == m]).sum(axis=1) for m in range(k)], axis=1)
 
 
-def _pam_one_block(pdf: pd.DataFrame, iters: int) -> list[int]:
-    """Medoid rows of a group that fits one block; same steps and tie rules as the block-pair path."""
-    pdf = pdf.sort_values("ident", kind="stable")
-    dist, k = _distances(pdf, pdf), int(pdf["k"].iloc[0])
-    chosen: list[int] = []
-    d1 = np.full(len(pdf), np.inf)
-    for _ in range(min(k, len(pdf))):
-        chosen.append(int(np.argmin(np.round(_build_cost(dist, d1), 9))))
-        d1 = np.minimum(d1, dist[chosen[-1]])
-    for _ in range(iters):
-        ds = dist[chosen]
-        order = np.sort(ds, axis=0)
-        cost = np.round(
-            _swap_cost(dist, order[0], order[1] if len(chosen) > 1 else order[0], ds.argmin(axis=0), len(chosen)), 9
-        )
-        pos, row = divmod(int(np.argmin(cost.T)), len(pdf))
-        if cost[row, pos] >= -1e-9:
-            break
-        chosen[pos] = row
-    return [int(pdf.index[c]) for c in chosen]
+def _pam(dist: np.ndarray, ks: list[int], iters: int) -> list[list[int]]:
+    """Medoid rows for each k: greedy building, which is the same for all of them, then best swaps; same tie rules as the
+    block-pair path."""
+    built: list[int] = []
+    d1 = np.full(len(dist), np.inf)
+    for _ in range(min(max(ks), len(dist))):
+        built.append(int(np.argmin(np.round(_build_cost(dist, d1), 9))))
+        d1 = np.minimum(d1, dist[built[-1]])
+    out = []
+    for k in ks:
+        chosen = built[:k]
+        for _ in range(iters):
+            ds = dist[chosen]
+            order = np.sort(ds, axis=0)
+            cost = np.round(
+                _swap_cost(dist, order[0], order[1] if len(chosen) > 1 else order[0], ds.argmin(axis=0), len(chosen)), 9
+            )
+            pos, row = divmod(int(np.argmin(cost.T)), len(dist))
+            if cost[row, pos] >= -1e-9:
+                break
+            chosen[pos] = row
+        out.append(chosen)
+    return out
 
 
-def _medoids(points: DataFrame, keys: list[str], dims: int, kmax: int, iters: int, schema_keys: str) -> DataFrame:
+def _medoids(points: DataFrame, problems: DataFrame, by: list[str], dims: int, kmax: int, iters: int, block: int) -> DataFrame:
     """Partitioning around medoids, exactly: greedy build, then best swaps until none improves.
 
-    ``points`` are blocked and carry ``k``. Groups of one block are solved in one task each, all in one
-    job; larger groups take one block-pair job per step. Returns keys and ``medoids`` (ident, x).
+    A group of one block is solved in one task for all its k, from one matrix of distances; larger groups take one
+    block-pair job per step. Returns by, k and ``medoids`` (ident, x).
     """
+    keys, schema_keys = [*by, "k"], f"{_key_schema(points, by)}, k int"
     ident_type = points.schema["ident"].dataType.simpleString()
-    medoid = f"struct<ident:{ident_type},x:array<double>>"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        chosen = [{"ident": pdf["ident"][i], "x": pdf["x"][i]} for i in _pam_one_block(pdf, iters)]
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "medoids": chosen}])
+    blocks = materialise(packed(points, by, block), "blocks")
+    ks = problems.groupBy(*by).agg(F.array_sort(F.collect_set("k")).alias("ks"))
+
+    def solve(batches):
+        import pyarrow as pa
+
+        for row in rows(batches):
+            cells, wanted = row.column("cells").flatten(), row.column("ks")[0].as_py()
+            x = matrix(cells)
+            for k, chosen in zip(wanted, _pam(distances(x, x), wanted, iters)):
+                held = [{"ident": cells[c]["ident"].as_py(), "x": x[c].tolist()} for c in chosen]
+                kind = pa.list_(pa.struct([("ident", cells.field("ident").type), ("x", pa.list_(pa.float64()))]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(row.column(c) for c in by), pa.array([k], pa.int32()), pa.array([held], kind)], [*keys, "medoids"]
+                )
 
-    small = points.filter("blocks = 1").groupBy(*keys).applyInPandas(solve, f"{schema_keys}, medoids array<{medoid}>")
-    large = points.filter("blocks > 1")
+    medoid = f"struct<ident:{ident_type},x:array<double>>"
+    small = blocks.filter("blocks = 1").join(ks, by).select(*by, "cells", "ks").mapInArrow(solve, f"{schema_keys}, medoids array<{medoid}>")
+    large = blocks.filter("blocks > 1").select(*by).distinct()
     if large.isEmpty():
         return materialise(small, "medoids")
-    return materialise(small.unionByName(_medoids_by_blocks(large, keys, dims, kmax, iters, schema_keys)), "medoids")
+    long = materialise(_blocked(points.join(large, by, "left_semi").join(problems, by), keys, block), "points")
+    return materialise(small.unionByName(_medoids_by_blocks(long, keys, dims, kmax, iters, schema_keys)), "medoids")
 
 
 def _medoids_by_blocks(
@@ -442,10 +420,9 @@ def kmedoids_by_group(
 
 def _kmedoids(df, problems, by, cols, kmax, ident, iters, block) -> DataFrame:
     keys = [*by, "k"]
-    scaled = _points(_mad_scaled(df, by, cols), by, ident, cols).join(problems, by)
-    points = materialise(_blocked(scaled, keys, block), "points")
-    medoids = _medoids(points, keys, len(cols), kmax, iters, f"{_key_schema(df, by)}, k int")
-    labels = _nearest_two(points, medoids, keys, len(cols)).select(
+    points = materialise(_points(_mad_scaled(df, by, cols), by, ident, cols), "points")
+    medoids = _medoids(points, problems, by, len(cols), kmax, iters, block)
+    labels = _nearest_two(points, medoids, by, len(cols), ["k"]).select(
         *keys, F.col("ident").alias(ident), (F.col("near") + 1).alias("cluster_number")
     )
     return df.join(labels, [*by, ident])
@@ -479,13 +456,20 @@ def best_segmentation(
     """k-means or medoids per group, whichever has the higher mean silhouette (ties: medoids)."""
     by = list(by)
     df = materialise(prepared(seg, by, cols, fraction, min_rows, ident), "scaled")
-    pieces = []
-    for kind, run in (("k-means", kmeans_by_group), ("pam", kmedoids_by_group)):
-        labelled = silhouette_by_group(run(df, by, cols, k, k_single, ident=ident), by, "cluster_number", cols, ident)
-        pieces.append(
-            labelled.select(*by, ident, "cluster_number", "silhouette_width").withColumn("type", F.lit(kind))
-        )
-    both = materialise(pieces[0].unionByName(pieces[1]), "labels")
+    kinds = ("k-means", "pam")
+    runs = (kmeans_by_group(df, by, cols, k, k_single, ident=ident), kmedoids_by_group(df, by, cols, k, k_single, ident=ident))
+    labelled = None
+    for which, run in enumerate(runs):
+        part = run.select(*by, F.col(ident).alias("ident"), F.lit(which).alias("which"), F.col("cluster_number").cast("int").alias("label"))
+        labelled = part if labelled is None else labelled.unionByName(part)
+    found = compared(_with_labels(_points(df, by, ident, cols), labelled, by), by, max(k, k_single or k))
+    both = materialise(
+        silhouettes(found, by).select(
+            *by, F.col("ident").alias(ident), F.col("own").alias("cluster_number"), "silhouette_width",
+            F.element_at(F.array(*map(F.lit, kinds)), F.col("which") + 1).alias("type"),
+        ),
+        "labels",
+    )
     mean = both.groupBy(*by, "type").agg(F.avg("silhouette_width").alias("mean_width"))
     winner = mean.groupBy(*by).agg(
         F.when(
@@ -516,19 +500,19 @@ def cluster_sweep(
     problems = df.select(*by).distinct().withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
     points = materialise(_points(df, by, ident, cols), "points")
     centres = best_centres(points, problems, by, dims, max(ks), 500, block).select(*by, "k", "centres")
-    means = _assign(points, centres, by, dims).select(
-        *by, "k", F.col("ident").alias(ident), F.col("cluster").alias("cluster_number")
+    means = _assign(points, centres, by, dims).select(*by, "ident", "k", F.col("cluster").alias("label"))
+    medoids = _kmedoids(df, problems, by, cols, max(ks), ident, 500, block).select(
+        *by, F.col(ident).alias("ident"), "k", F.col("cluster_number").alias("label")
     )
-    means = df.join(means, [*by, ident]).withColumn("method", F.lit("k-means"))
-    medoids = _kmedoids(df, problems, by, cols, max(ks), ident, 500, block).withColumn("method", F.lit("pam"))
-    keys = [*by, "method", "k"]
-    labelled = materialise(means.unionByName(medoids.select(*means.columns)), "labels")
-    width = silhouette_by_group(labelled, keys, "cluster_number", cols, ident, block)
-    silhouette = width.groupBy(*keys).agg(F.avg("silhouette_width").alias("silhouette"))
-    x = _points(labelled, keys, ident, cols)
-    tagged = x.join(
-        labelled.select(*keys, F.col(ident).alias("ident"), F.col("cluster_number").alias("label")), [*keys, "ident"]
+    kinds = [(method, int(k)) for method in ("k-means", "pam") for k in sorted(set(ks))]
+    which = lambda method: F.array_position(F.array(*[F.lit(n) for m, n in kinds if m == method]), F.col("k")).cast("int") - 1
+    labelled = materialise(
+        means.withColumn("which", which("k-means")).unionByName(medoids.withColumn("which", which("pam") + len(kinds) // 2)), "labels"
     )
+    found = materialise(compared(_with_labels(points, labelled, by), by, max(ks), block), "compared")
+    keys = [*by, "which"]
+    silhouette = silhouettes(found, by).groupBy(*keys).agg(F.avg("silhouette_width").alias("silhouette"))
+    tagged = labelled.join(points, [*by, "ident"])
     centre = tagged.groupBy(*keys, "label").agg(
         F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("centre")
     )
@@ -537,25 +521,14 @@ def cluster_sweep(
         .groupBy(*keys)
         .agg(F.sum(square(F.col("x"), F.col("centre"), dims)).alias("wss"))
     )
-    return silhouette.join(_dunn(_blocked(tagged, keys, block), keys), keys).join(within, keys)
-
-
-def _dunn(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest distance between clusters over the largest within one, per group."""
-    schema = f"{_key_schema(points, keys)}, apart double, wide double"
+    at = F.col("which") + 1
+    return silhouette.join(dunn(found, by), keys).join(within, keys).select(
+        *by, F.element_at(F.array(*[F.lit(m) for m, _ in kinds]), at).alias("method"),
+        F.element_at(F.array(*[F.lit(n) for _, n in kinds]), at).alias("k"), "silhouette", "dunn", "wss",
+    )
 
-    def extremes(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=[*keys, "apart", "wide"])
-        dist = _distances(a, b)
-        same = a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]
-        row = {c: a[c].iloc[0] for c in keys}
-        row["apart"] = float(dist[~same].min()) if (~same).any() else None
-        row["wide"] = float(dist[same].max()) if same.any() else None
-        return pd.DataFrame([row])
 
-    return (
-        _block_pairs(points, points, keys, extremes, schema)
-        .groupBy(*keys)
-        .agg(F.try_divide(F.min("apart"), F.max("wide")).alias("dunn"))
-    )
+def _with_labels(points: DataFrame, labelled: DataFrame, by: list[str]) -> DataFrame:
+    """Points with their labels in all labelings, in the order of ``which``."""
+    listed = F.array_sort(F.collect_list(F.struct("which", "label")))
+    return points.join(labelled.groupBy(*by, "ident").agg(listed["label"].alias("labels")), [*by, "ident"])

@@ -600,7 +600,7 @@ add(
 )
 add(
     "d61_best_segmentation",
-    "cat_key:s link_line:s rank:i sales:i price:d cluster_number:i silhouette_width:d type:s",
+    "cat_key:s link_line:s rank:i sales:i price:f cluster_number:i silhouette_width:d type:s",
     lambda c: segments.best_segmentation(c.segmentation, min_rows=sql.SEG_ROWS),
     models.BEST,
 )

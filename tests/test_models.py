@@ -269,3 +269,64 @@ def test_error_buckets(spark):
     df = spark.createDataFrame([(v,) for v in (-0.6, -0.5, -0.3, 0.0, 0.3, 0.5, None)], "e double")
     assert [r[0] for r in df.select(validate.error_bucket("e")).collect()] == [-3, -2, -1, 1, 2, 3, 3]
     assert [r[0] for r in df.select(validate.error_bucket("e", 0)).collect()][-1] == 0
+
+
+def tied_groups(spark, groups=4):
+    """Small whole-number grids: many equal points and equal distances."""
+    rng = np.random.default_rng(11)
+    rows = [(f"g{g}", f"i{i:03d}", float(rng.integers(0, 4)), float(rng.integers(0, 5)), 0) for g in range(groups) for i in range(30 + 7 * g)]
+    return spark.createDataFrame(rows, "cat_key string, link_line string, sales double, price double, cluster_number int")
+
+
+def test_kmeans_blocks_equal_one_block(spark):
+    """Groups cut into blocks and solved by turns give what one task gives, settled at its own end."""
+    rng = np.random.default_rng(2)
+    rows = [(f"g{g}", f"i{i:03d}", float(rng.normal(2 * (i % 3))), float(rng.normal(g))) for g in range(3) for i in range(60 + 25 * g)]
+    df = spark.createDataFrame(rows, "cat_key string, link_line string, sales double, price double")
+    whole, cut = ({(r.cat_key, r.k): r for r in segments.elbow(df, ks=(1, 2, 4), block=b).collect()} for b in (2048, 20))
+    assert whole.keys() == cut.keys() and len(whole) == 9
+    for key, row in whole.items():
+        assert row.converged and cut[key].converged
+        assert row.wss == pytest.approx(cut[key].wss, abs=1e-8)
+    for block in (2048, 20):  # a run that is stopped says so
+        assert not all(r.converged for r in segments.elbow(df, ks=(4,), iters=1, block=block).collect())
+    one, many = ({(r.cat_key, r.link_line): r.cluster_number for r in segments.kmeans_by_group(df, block=b).collect()} for b in (2048, 20))
+    assert one == many
+
+
+def test_compared_blocks_against_brute_force_with_ties(spark):
+    from shelfweek.operators import blocks
+
+    df = tied_groups(spark)
+    rng = np.random.default_rng(4)
+    data = [(r.cat_key, r.link_line, [r.sales, r.price], rng.integers(1, 4, 2).tolist()) for r in df.collect()]
+    points = spark.createDataFrame(data, "cat_key string, ident string, x array<double>, labels array<int>")
+    for block in (2048, 9):
+        found = blocks.compared(points, ["cat_key"], 3, block).cache()
+        widths = {(r.cat_key, r.which, r.ident): r.silhouette_width for r in blocks.silhouettes(found, ["cat_key"]).collect()}
+        ratios = {(r.cat_key, r.which): r.dunn for r in blocks.dunn(found, ["cat_key"]).collect()}
+        for group in {d[0] for d in data}:
+            mine = [d for d in data if d[0] == group]
+            x = np.array([d[2] for d in mine])
+            dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+            for which in range(2):
+                labels = np.array([d[3][which] for d in mine])
+                same = labels[:, None] == labels[None]
+                assert ratios[group, which] == pytest.approx(dist[~same].min() / dist[same].max())
+                for i, d in enumerate(mine):
+                    own = same[i].sum()
+                    a = dist[i][same[i]].sum() / (own - 1) if own > 1 else 0
+                    b = min(dist[i][labels == c].mean() for c in set(labels.tolist()) - {labels[i]})
+                    want = 0 if own == 1 or max(a, b) == 0 else (b - a) / max(a, b)
+                    assert widths[group, which, d[1]] == pytest.approx(want)
+
+
+def test_medoids_of_all_k_share_one_matrix():
+    """Solving several k from one matrix gives what each k gives alone, also where points and distances tie."""
+    from shelfweek.operators.blocks import distances
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x = rng.integers(0, 4, (25, 2)).astype(float)
+        dist = distances(x, x)
+        assert segments._pam(dist, [1, 2, 3, 4], 500) == [segments._pam(dist, [k], 500)[0] for k in (1, 2, 3, 4)]
