@@ -255,7 +255,7 @@ def quadratic_stage(
     """Stage G / M / D from the slope of y[t] ~ x[t+1] + x[t+1]^2.
 
     The fit needs nine power sums per key (partial aggregation, no group is collected). Its slope on
-    the grid 0, step, 2*step ... max(x) is linear, so the grid stays an array expression per key.
+    the grid 0, step, 2*step ... max(x) is linear, so the last or first step within a bound is a division.
     Growth ends at the largest slope <= ``hi``, decline starts at the smallest slope >= ``lo``.
     """
     pairs = df.select(
@@ -286,25 +286,18 @@ def quadratic_stage(
         sums.withColumns({"det": det, "d1": t1 * s22 - t2 * s12, "d2": s11 * t2 - s12 * t1})
         .withColumns({"g1": F.try_divide("d1", "det"), "g2": F.try_divide("d2", "det")})
         .withColumn("b1", c("g1") - c("g2") * c("mx") * 2)
-        .withColumn("steps", F.floor(c("top") / step).cast("int"))
+        .withColumn("last", F.floor(c("top") / step) - 1)
     )
-    slope = F.transform(
-        F.when(c("steps") >= 1, F.sequence(F.lit(0), c("steps") - 1)),
-        lambda i: c("b1") + c("g2") * (i * 2 + 1) * step,
-    )
-    fit = (
-        fit.withColumn("slopes", slope)
-        .withColumns(
-            {
-                "end_slope": F.array_max(F.filter("slopes", lambda s: s <= hi)),
-                "start_slope": F.array_min(F.filter("slopes", lambda s: s >= lo)),
-            }
-        )
-        .select(
-            key,
-            ((F.array_position("slopes", c("end_slope")) - 1) * step).alias("growth_end"),
-            ((F.array_position("slopes", c("start_slope")) - 1) * step).alias("decline_start"),
-        )
+    # slope number i is b1 + g2 * (2i + 1) * step, so the number at which it passes a bound is one division
+    passes = lambda bound: (F.try_divide(F.lit(bound) - c("b1"), c("g2") * step) - 1) / 2
+    upto = lambda bound: F.least(F.floor(passes(bound)), c("last"))
+    since = lambda bound: F.greatest(F.ceil(passes(bound)), F.lit(0))
+    number = {
+        "growth_end": F.when(c("g2") > 0, upto(hi)).when(c("g2") < 0, since(hi)).when(c("b1") <= hi, 0),
+        "decline_start": F.when(c("g2") > 0, since(lo)).when(c("g2") < 0, upto(lo)).when(c("b1") >= lo, 0),
+    }
+    fit = fit.select(
+        key, *[F.when(i.between(0, c("last")), i * step).alias(name) for name, i in number.items()]
     )
     stage = (
         F.when(c(x) >= c("decline_start"), "D").when(c(x) <= c("growth_end"), "G").otherwise("M")

@@ -619,27 +619,31 @@ add(
     lambda c: c.prepped,
     "SELECT cluster_key, fiscal_year, fiscal_week, gross_sales_units, disc AS md_discount, log_units, capped_units, train FROM prepped",
 )
-FIT = "cluster_key:s n:i intercept:d slope:d slope_se:d rsq:d"
+FIT = "cluster_key:s n:i intercept:d slope:d slope_se:d rsq:d status:s"
 
 
 def one_regressor(cook: bool):
     def build(c: Context) -> DataFrame:
         fit = elasticity.ols_by_key(c.prepped.filter("train"), "cluster_key", "log_units", ["md_discount"], cook)
-        value = lambda v, col: F.max(F.when(F.col("variable") == v, F.col(col)))
+        known = lambda c: F.when(~F.isnan(c), F.col(c))
+        value = lambda v, col: F.max(F.when(F.col("variable") == v, known(col)))
         return fit.groupBy("cluster_key").agg(
             F.max("n").alias("n"),
             value("(Intercept)", "estimate").alias("intercept"),
             value("md_discount", "estimate").alias("slope"),
             value("md_discount", "std_error").alias("slope_se"),
-            F.max("rsq").alias("rsq"),
-        ).filter((F.col("n") > 3) & F.col("slope").isNotNull())
+            F.max(known("rsq")).alias("rsq"),
+            F.max("status").alias("status"),
+        )
 
     return build
 
 
 def one_regressor_sql(fit: str) -> str:
-    return f"""SELECT cluster_key, n, a AS intercept, b AS slope, sqrt(s2 / sxx) AS slope_se, 1 - greatest(syy - b * sxy, 0) / NULLIF(syy, 0) AS rsq
-    FROM {fit} WHERE n > 3 AND b IS NOT NULL"""
+    return f"""SELECT cluster_key, n, a AS intercept, b AS slope, sqrt(s2 / sxx) AS slope_se,
+      1 - greatest(syy - COALESCE(b * sxy, 0), 0) / NULLIF(syy, 0) AS rsq,
+      CASE WHEN n > terms THEN 'ok' ELSE 'no residual degrees of freedom' END AS status
+    FROM {fit}"""
 
 
 add("d64_ols_one_regressor", FIT, one_regressor(False), one_regressor_sql("fit1"))
