@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def shipped(spark: SparkSession, model) -> Broadcast:
+    """Broadcast a bounded model for ``unpacked``. Its class travels with it, so executors need no copy of this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def unpacked(held: Broadcast):
+    """The model of a broadcast of ``shipped``; to be called once in a task."""
+    return pickle.loads(held.value)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfweek.llm.base import small_batches, table, windows
+from shelfweek.llm.base import shipped, small_batches, table, unpacked, windows
 from shelfweek.llm.licenses import words_of
 
 K1, B = 1.2, 0.75
@@ -181,9 +182,27 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     null. Repeated rows are answered row by row, items with equal texts are all found. Empty tables give no rows.
     Other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for held in _indexes(items):
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            index = unpacked(held)
+            for batch in batches:
+                found = []
+                for doc_id, t in zip(batch["doc_id"], batch["text"]):
+                    for n, (score, q, a, low) in index.leaks(words_of(t)).items():
+                        found.append((None if pd.isna(doc_id) else int(doc_id), index.ids[n], min(score, 1.0), q, a, low))
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"doc_id": "Int64"})
+
+        hits = own.mapInPandas(run, FOUND)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _indexes(items: DataFrame) -> list[Broadcast]:
+    """Indexes of at most ``ITEMS`` items each, one at least; document frequencies are counted over all items."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     total = items.count()
     passes = max(1, math.ceil(total / ITEMS))
@@ -196,31 +215,34 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     parted = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(passes)).cast("int"))
     counted = parted.select("text", "part").mapInPandas(terms, "word string, part int")
     frequency = counted.groupBy("word").count()
-    out = None
+    out = []
     for part in range(passes):
         rows = sorted((r.item_id, r.text) for r in parted.filter(F.col("part") == part).collect() if words_of(r.text))
         mine = counted.filter(F.col("part") == part).select("word").distinct()
         index = Index(rows, total, {r.word.encode(): r["count"] for r in frequency.join(mine, "word").collect()})
-        held = spark.sparkContext.broadcast(index)
+        out.append(shipped(items.sparkSession, index))
+    return out
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = held.value
-            for batch in batches:
-                found = []
-                for doc_id, t in zip(batch["doc_id"], batch["text"]):
-                    for n, (score, q, a, low) in index.leaks(words_of(t)).items():
-                        found.append((None if pd.isna(doc_id) else int(doc_id), index.ids[n], min(score, 1.0), q, a, low))
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({"doc_id": "Int64"})
 
-        hits = own.mapInPandas(run, FOUND)
-        out = hits if out is None else out.unionByName(hits)
-    return out
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which ``contaminated`` finds no test item; one pass for each index, no shuffle of texts.
 
+    Every row is judged by its own text, whatever its doc_id: null ids and repeated ids with different texts included.
+    """
+    small_batches(docs.sparkSession)
+    for held in _indexes(items):
+        docs = docs.filter(_clean(held)(F.col(text)))
+    return docs
+
+
+def _clean(held: Broadcast):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = unpacked(held)
+        for batch in batches:
+            yield pd.Series([not index.leaks(words_of(t)) for t in batch], dtype="bool")
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those in which a test item was found. Rows with a null doc_id are dropped only if all of them hold one."""
-    found = contaminated(docs, items).select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return clean
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

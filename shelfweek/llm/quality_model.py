@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfweek.llm.base import small_batches, table
+from shelfweek.llm.base import shipped, small_batches, table, unpacked
 
 #: Frequent function words of the languages at hand.
 STOPWORDS = frozenset(
@@ -195,13 +195,13 @@ def with_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> Da
     result; other columns stay, a column called ``quality_model`` is replaced.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("votes array<int>, posterior double, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        m, known = held.value, {}
+        m, known = unpacked(held), {}
         for batch in batches:
             v = [votes(t) for t in batch]
             posterior = _posterior(m.share, m.chance, np.array(v)) if v else []

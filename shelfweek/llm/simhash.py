@@ -117,6 +117,18 @@ def _bits() -> Column:
     return F.array(*(F.expr(f"cast(shiftrightunsigned(fp, segment * 4 + {b}) & 1 as int)") for b in range(4)))
 
 
+def named_fingerprints(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp).
+
+    ``root`` names the component by its smallest fingerprint, component_id by its smallest known doc_id.
+    """
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    roots = components(fingerprint_links(classes), "a", "b")
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(lows, "root").select("fp", "root", "component_id")
+
+
 def simhash_components(docs: DataFrame, words: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``.
 
@@ -126,229 +138,30 @@ def simhash_components(docs: DataFrame, words: int = 3, text: str = "text", key:
     component (null if there is none). An empty table gives no rows. Other columns are neither read nor returned.
     """
     prints = materialise(with_fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, "text").select("doc_id", "fp"), "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "classes")
-    roots = components(fingerprint_links(classes), "a", "b")
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-BANDS, ROWS = 24, 3  # sketches of a text, and the smallest hashes that make one
-
-
-def sketches(hashes) -> list[int]:
-    """``BANDS`` sketches of a set of hashes; each holds ``ROWS`` minima under multiplications of their own."""
-    import numpy as np
-
-    rng = np.random.default_rng(20)
-    factors = rng.integers(1, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    own = np.unique(hashes)
-    own = own ^ (own >> np.uint64(31))
-    with np.errstate(over="ignore"):
-        parts = [(factors[:, None] * own[None, at : at + 2048]).min(axis=1) for at in range(0, len(own), 2048)]
-        low = np.minimum.reduce(parts).reshape(BANDS, ROWS)
-        out = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for r in range(ROWS):
-            out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ low[:, r]
-            out ^= out >> np.uint64(32)
-    return out.view(np.int64).tolist()
-
-
-def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, same, bands): a digest of the whole word sequence, null for a text without words, and the sketches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for batch in batches:
-            tokens = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "same": [xxhash.xxh3_128_hexdigest(b" ".join(t)) for t in tokens],
-                "bands": [sketches(shingle_hashes(text, words)) if t else [] for text, t in zip(batch["text"], tokens)],
-            })
-
-    return docs.mapInPandas(run, "doc_id long, same string, bands array<long>")
+    return prints.join(named_fingerprints(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity, compared whole."""
+def first_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each component of ``docs`` (columns doc_id, text and any others): the one of the smallest doc_id.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        kept: dict = {}
-        for batch in batches:
-            hits = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if b not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    kept[b] = np.unique(shingle_hashes(tb, words))
-                x, y = np.unique(shingle_hashes(ta, words)), kept[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hits.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.loc[hits, ["a", "b"]]
-
-    text = docs.select("doc_id", "text")
-    first = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    whole = first.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return whole.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
-
-
-BLOCK = 256  # texts of one side of a block comparison
-
-
-def _shingled(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, bands, hashes): the sketches and the distinct shingles of each text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for batch in batches:
-            own = [np.unique(shingle_hashes(t, words)) for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "bands": [sketches(h) if len(h) else [] for h in own], "hashes": [h.view(np.int64) for h in own],
-            })
-
-    return docs.mapInPandas(run, "doc_id long, bands array<long>, hashes array<long>")
-
-
-def block_links(left: pd.DataFrame, right: pd.DataFrame, band: int, similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all similar pairs of two blocks whose components differ and whose first equal sketch is ``band``."""
-    import numpy as np
-
-    both = [pd.concat([left, right], ignore_index=True)] if left is not right else [left.reset_index(drop=True)]
-    rows = both[0]
-    bands = np.stack(rows["bands"].to_numpy())
-    mine, seen = np.zeros((len(rows), len(rows)), dtype=bool), np.zeros((len(rows), len(rows)), dtype=bool)
-    for p in range(bands.shape[1]):
-        equal = bands[:, p, None] == bands[None, :, p]
-        mine |= equal & ~seen & (bands[:, p, None] == band)
-        seen |= equal
-    root = rows["root"].to_numpy()
-    mine &= root[:, None] != root[None, :]
-    if left is not right:
-        mine[: len(left), : len(left)] = mine[len(left) :, len(left) :] = False
-    use = np.flatnonzero(mine.any(axis=1))
-    if not len(use):
-        return []
-    mine, ids = mine[np.ix_(use, use)], rows["doc_id"].to_numpy()[use]
-    hashes = [np.asarray(h) for h in rows["hashes"].iloc[use]]
-    sizes = np.array([len(h) for h in hashes])
-    owner = np.repeat(np.arange(len(use)), sizes)
-    _, code, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    shared = count > 1  # the others are in no intersection
-    owner, code = owner[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    common = np.zeros((len(use), len(use)), dtype=np.float64)
-    for at in range(0, int(shared.sum()), 2048):  # bounded memory for very long texts
-        a, z = np.searchsorted(code, (at, at + 2048))
-        held = np.zeros((len(use), 2048), dtype=np.float32)
-        held[owner[a:z], code[a:z] - at] = 1
-        common += held @ held.T
-    near = mine & (common >= similarity * (sizes[:, None] + sizes[None, :] - common))
-    links, left_over = [], np.ones(len(use), dtype=bool)
-    for start in range(len(use)):  # a spanning forest: fewer links than texts
-        stack = [start] if left_over[start] else []
-        left_over[start] = False
-        while stack:
-            x = stack.pop()
-            new = np.flatnonzero(near[x] & left_over)
-            left_over[new] = False
-            links += [(int(ids[x]), int(ids[y])) for y in new]
-            stack += new.tolist()
-    return links
-
-
-def _across(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) between texts of equal sketch that are still in different components.
-
-    ``members`` has doc_id, band and root. Every pair of different roots in a band is compared whole, in blocks of about
-    ``BLOCK`` texts: the work on a family that stays apart is quadratic by nature, but spread, and only links are
-    emitted. Texts of a band's largest component are not compared with each other.
+    Components are those of ``simhash_components``: texts whose fingerprints of ``words``-word shingles are linked by
+    two or fewer differing bits; texts without words are one component. Rows are judged, not ids: a null doc_id comes
+    after every known one, and of several rows of the smallest doc_id in one component the smallest by all its columns
+    stays, so the choice is the same after a lost executor. Columns must be orderable. An empty table gives no rows.
     """
-    each = members.groupBy("band", "root").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("whole"), F.max(F.struct("n", "root")).alias("most")).filter("roots > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    small = F.col("whole") <= BLOCK
-    mixed = mixed.select(
-        "band", F.when(~small, F.col("most.root")).alias("main"),
-        F.when(small, 1).otherwise(blocks(F.col("whole") - F.col("most.n"))).alias("others"), F.when(small, 0).otherwise(blocks(F.col("most.n"))).alias("mains"),
-    )
-    main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
-    spot = F.xxhash64("doc_id")
-    placed = members.join(mixed, "band").select(
-        "doc_id", "band", "root", "others", "mains", main.alias("is_main"),
-        F.when(main, F.col("others") + F.pmod(spot, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(spot, F.col("others"))).cast("int").alias("at"),
-    )
-    last = F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
-    dealt = placed.select("doc_id", "band", "root", "at", F.explode(F.sequence(F.lit(0), last)).alias("with"))
-    dealt = materialise(dealt.select("doc_id", "band", "root", "at", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j")), "blocks")
-    sets = materialise(_shingled(docs.select("doc_id", "text").join(dealt.select("doc_id").distinct(), "doc_id", "left_semi"), words), "shingles")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = key
-        rows = rows[[len(h) > 0 for h in rows["hashes"]]]
-        left, right = rows[rows["at"] == i], rows[rows["at"] == j]
-        links = block_links(left, left if i == j else right, band, similarity) if len(left) and len(right) else []
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return dealt.join(sets, "doc_id").groupBy("band", "i", "j").applyInPandas(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id): texts whose sets of shingles are at least so similar are linked; see the README.
+    rows = with_fingerprints(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), words).select("doc_id", "fp", "row")
+    rows = materialise(rows, "prints")
+    first = rows.select("doc_id", "fp").join(named_fingerprints(rows.select("doc_id", "fp")), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = materialise(first.groupBy("doc_id", "fp", "root").agg(F.count("*").alias("n")), "first")
+    tied = first.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+    mine = rows.alias("r").join(first.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.fp") == F.col("f.fp"))).select("row", "root")
+    if tied.isEmpty():
+        return mine.select("row.*")
+    alone = mine.join(tied, "root", "left_anti").select("row")
+    several = mine.join(tied, "root", "left_semi").groupBy("root").agg(F.min("row").alias("row")).select("row")
+    return alone.unionByName(several).select("row.*")
 
-    Fingerprints that differ in two bits or fewer cannot reach texts of that similarity (they differ in up to 14), so
-    candidates are texts with an equal sketch. Equal texts (words in lower case) are one class from the start and only
-    its first document goes on. In each set of texts with an equal sketch all are compared, whole, with one: the text
-    that has the most such neighbours, which joins most groups at one pair for each member and sketch. Pairs of an
-    equal sketch that are then still in different components are compared too, in blocks. component_id is the smallest
-    doc_id that can be reached.
 
-    Null and empty texts and texts without words are equal to each other. Rows with a null doc_id are left out.
-    Repeated rows count once. An empty table gives no rows; other columns are not read.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
-    found = materialise(_sketched(docs, words), "sketches")
-    firsts = materialise(found.groupBy("same").agg(F.min("doc_id").alias("low")), "classes")
-    alone = found.join(firsts.select(F.col("low").alias("doc_id")), "doc_id", "left_semi")
-    rows = alone.select("doc_id", F.explode("bands").alias("band")).distinct()
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    near = materialise(rows.join(sizes, "band"), "bands")
-    degree = near.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    ranked = near.select("doc_id", "band").join(degree, "doc_id")
-    lead = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("minus"))).alias("top"))
-    led = near.join(lead, "band").select(F.col("doc_id").alias("a"), (-F.col("top.minus")).alias("b"), "band").filter("a != b")
-    pairs = led.select("a", "b").distinct()
-    linked = materialise(_similar(materialise(pairs, "pairs"), docs, words, similarity), "similar")
-    roots = components(linked, "a", "b")
-    members = led.select(F.col("a").alias("doc_id"), "band").join(roots, F.col("doc_id") == F.col("node"), "left")
-    members = materialise(members.select("doc_id", "band", F.coalesce("root", "doc_id").alias("root")), "members")
-    more = materialise(_across(members, docs, words, similarity), "across")
-    if not more.isEmpty():
-        roots = components(linked.unionByName(more), "a", "b")
-    named = firsts.join(roots, firsts.low == roots.node, "left").select("same", F.coalesce("root", "low").alias("component_id"))
-    return found.select("doc_id", "same").distinct().join(named, "same").select("doc_id", "component_id")
-
-
-def first_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the near duplicates of an earlier document: the smallest doc_id of each group stays.
-
-    Of repeated rows with one doc_id one stays; rows with a null doc_id cannot be grouped and stay.
-    """
-    groups = materialise(near_duplicates(docs, words, similarity), "groups")
-    stay = groups.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty() is False:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

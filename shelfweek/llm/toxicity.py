@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfweek.llm.base import small_batches, table
+from shelfweek.llm.base import shipped, small_batches, table, unpacked
 
 LEVELS = (6, 4, 2, 0)  # characters of context, from the class models' order down the shared backoff
 DISCOUNT = 0.9
@@ -205,10 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordina
         .toPandas().sort_values("word")
     )
     spelling = Spelling.fit(counts["word"].tolist(), counts["t"].to_numpy(dtype=float), counts["o"].to_numpy(dtype=float))
-    held = docs.sparkSession.sparkContext.broadcast(spelling)
+    held = shipped(docs.sparkSession, spelling)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(held.value)
+        scorer = Scorer(unpacked(held))
         for batch in batches:
             x = scorer.features(batch["text"])
             yield pd.DataFrame({"toxic": batch["toxic"], "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
@@ -225,13 +225,14 @@ def with_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> Dat
     columns stay, a column called ``toxicity`` is replaced; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shipped(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(held.value.spelling)
+        model = unpacked(held)
+        scorer = Scorer(model.spelling)
         for batch in batches:
-            yield pd.Series(held.value.scores(scorer, batch), dtype="float64")
+            yield pd.Series(model.scores(scorer, batch), dtype="float64")
 
     return docs.withColumn("toxicity", run(F.col(text)))
 

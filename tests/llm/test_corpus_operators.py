@@ -65,42 +65,43 @@ def test_simhash_edges(edge_docs, no_docs):
     assert simhash.simhash_components(no_docs).count() == 0
 
 
-def test_near_duplicates(spark, edge_docs, no_docs):
+def test_first_of_each(spark, edge_docs, no_docs):
+    """One row of each component that brute force finds, whatever becomes of nulls and repeated ids."""
+    import xxhash
+
+    def print_of(text):
+        words = (text or "").encode().lower().split()
+        runs = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
     rng = random.Random(2)
     texts = []
-    for _ in range(12):
-        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 260))]
-        texts.append(base)
-        for _ in range(8):
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))]
+        texts += [base, base, [w.upper() for w in base]]
+        for _ in range(5):
             t = list(base)
-            for _ in range(rng.randrange(0, 6)):
-                t[rng.randrange(len(t))] = f"x{rng.randrange(99)}"
+            t[rng.randrange(len(t))] = f"x{rng.randrange(99)}"
             texts.append(t)
     rng.shuffle(texts)
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = roots(range(len(sets)), near)
-    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
-    assert got == want
+    texts = [" ".join(t) for t in texts]
+    prints = [print_of(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    want = roots(range(len(texts)), near)
+    assert 25 < len(set(want.values())) < len(texts) - 50
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.simhash_components(frame).collect()} == want
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in simhash.with_fingerprints(frame).collect()} == dict(enumerate(prints))
+    assert sorted(r.doc_id for r in simhash.first_of_each(frame).collect()) == sorted(set(want.values()))
     kept = simhash.first_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 7, 8, 9]
     assert simhash.first_of_each(no_docs).count() == 0
-
-
-def test_near_duplicates_in_a_family(spark):
-    """Texts that share a long passage (Jaccard 0.74) hold pairs at 0.82 that no common lead connects."""
-    rng = random.Random(6)
-    word = lambda: f"w{rng.randrange(10**7)}"
-    passage = [word() for _ in range(204)]
-    texts = []
-    for _ in range(270):
-        tail = [word() for _ in range(35)]
-        texts += [passage + tail, passage + tail[:12] + [word() for _ in range(23)]]
-    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
-    assert got == {i: i - i % 2 for i in range(len(texts))}
+    rows = [(7, texts[0], "b"), (7, texts[0], "a"), (None, texts[0], "a"), (7, "another text", "c"), (None, "no id here", "z"), (None, "no id here", "y"), (9, None, "n"), (8, "", "n")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = {(r.doc_id, r.text, r.root) for r in simhash.first_of_each(odd).collect()}
+    assert kept == {(7, texts[0], "a"), (7, "another text", "c"), (None, "no id here", "y"), (8, "", "n")}
 
 
 # ---- decontamination ----
@@ -139,6 +140,32 @@ def test_leaks(spark, small, edge_docs, no_docs):
     assert decontaminate.without_leaks(edge_docs, odd).filter("doc_id = 7").count() == 0
     assert decontaminate.contaminated(no_docs, odd).count() == 0
     assert decontaminate.without_leaks(edge_docs, odd.limit(0)).count() == edge_docs.count()
+    leak = "one two three four five six"
+    rows = spark.createDataFrame([(None, leak), (None, "a clean text"), (3, leak), (3, "another clean text")], "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate.without_leaks(rows, odd).collect()) == ["a clean text", "another clean text"]
+
+
+def test_models_travel_by_value(tmp_path):
+    """A worker that lacks this package can unpack and use the broadcast models."""
+    import subprocess
+    import sys
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from shelfweek.llm import quality_model, toxicity
+
+    index = decontaminate.Index([(4, "one two three four five six")], 1, {w: 1 for w in b"one two three four five six".split()})
+    toxic = toxicity.ToxicModel(toxicity.Spelling.fit(["bad", "good"], np.array([3.0, 0.0]), np.array([0.0, 3.0])), toxicity.fit_logistic(np.zeros((0, 3)), np.zeros(0)))
+    quality = quality_model.QualityModel(np.full(2, 0.5), np.full((7, 2, 3), 1 / 3), np.zeros((1 << quality_model.BITS) + 1, dtype=np.float32))
+    use = lambda: (
+        list(index.leaks(decontaminate.words_of("x one two three four five six y"))), len(toxic.scores(toxicity.Scorer(toxic.spelling), ["bad good", None])),
+        float(quality.score("a few plain words stand here", {})),
+    )
+    (tmp_path / "m.pkl").write_bytes(cloudpickle.dumps(use))
+    code = "import pickle; print(pickle.load(open('m.pkl', 'rb'))())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "([0], 2, 0.5)", out.stderr
 
 
 def test_leaks_with_a_changed_answer(spark):
