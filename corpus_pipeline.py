@@ -30,8 +30,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return simhash.first_of_each(docs, words=5, similarity=0.8)
+    """Of each component of fingerprints (three-word shingles, two or fewer differing bits) the smallest doc_id stays."""
+    return simhash.first_of_each(docs, words=3)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
