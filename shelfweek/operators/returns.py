@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfweek.functions.frames import row_frame_sums
 from shelfweek.functions.numeric import dbl, ratio, ratio_or, trunc_avg
 from shelfweek.functions.weeks import pack_week, packed_week, packed_year, week_array, week_filter
 
@@ -95,15 +96,19 @@ def _dense_weeks(f: DataFrame, grain: Sequence[str]) -> DataFrame:
 
 
 def return_rate_ma(
-    f: DataFrame, grain: str = "category", n: int = 13, shift: int = 0, carry_shift: int | None = None
+    f: DataFrame, grain: str = "category", n: int = 13, shift: int = 0, carry_shift: int | None = None,
+    partition: str | None = None,
 ) -> DataFrame:
     """Weekly return rate with trailing ``n``-week rates before and including the week.
 
     ``shift`` weeks: returns are counted that many weeks after the sale week and the rates use them.
     ``carry_shift`` only carries the shifted sum along. ``grain`` is 'category' or 'line'; at line
-    grain the frames run per line (mixing lines of a category in one frame has no defined order).
+    grain the frames run per line. With ``partition`` 'category' they run over the ``n`` rows before of all
+    lines of the category instead, in the order of week and then line, which makes the order total.
     Weeks start at the category's earliest launch.
     """
+    if partition not in (None, grain, "category"):
+        raise ValueError(f"frames of {grain} rows cannot run by {partition}")
     keys = (["line"] if grain == "line" else []) + CAT
     by_key = Window.partitionBy(*keys).orderBy(*YW)
     df = _dense_weeks(f, keys)
@@ -112,6 +117,13 @@ def return_rate_ma(
         df = df.withColumn("returns_post_2wk", F.lead("return_units", moved).over(by_key))
     df = df.join(category_launch(f), "cat_key").filter(pack_week(*YW) >= F.col("min_ld"))
     returned = "returns_post_2wk" if shift else "return_units"
+    if grain == "line" and partition == "category":
+        spans = {"ma": (-n, -1), "pred": (1 - n, 0)}
+        sums = {f"__{k}_{c}": (c, *span) for k, span in spans.items() for c in (returned, "gross_sales")}
+        rates = {k: ratio_or(F.col(f"__{k}_{returned}"), F.col(f"__{k}_gross_sales")) for k in spans}
+        return row_frame_sums(df, CAT, YW, ["line"], sums).select(
+            *df.columns, ratio_or(returned, "gross_sales").alias("wkly_rr"), rates["ma"].alias("ma_n_wk_rr"), rates["pred"].alias("pred_rr")
+        )
 
     def rate(low: int, high: int):
         frame = by_key.rowsBetween(low, high)

@@ -389,6 +389,12 @@ add(
     lambda c: returns.return_rate_ma(c.features, grain="line", shift=2),
     "ma13_line",
 )
+add(
+    "d33_ma_shifted_line_by_category",
+    MA_POST + " line:i",
+    lambda c: returns.return_rate_ma(c.features, grain="line", shift=2, partition="category"),
+    "ma13_line_by_category",
+)
 add("d34_ma_shifted_6wk", MA_POST, lambda c: returns.return_rate_ma(c.features, n=6, shift=2), "ma6_post")
 MDREG = (
     f"{CAT} md_period_flag:i weeks_in_sales:i net_sales_units:i gross_sales_units:i return_units:i "

@@ -330,3 +330,23 @@ def test_medoids_of_all_k_share_one_matrix():
         x = rng.integers(0, 4, (25, 2)).astype(float)
         dist = distances(x, x)
         assert segments._pam(dist, [1, 2, 3, 4], 500) == [segments._pam(dist, [k], 500)[0] for k in (1, 2, 3, 4)]
+
+
+@pytest.mark.parametrize("block_rows", [4, 7, 4096])
+def test_row_frames_over_blocks(spark, block_rows):
+    """Frames over blocks equal one window: a hot group over many slices, a null group, slices of one row."""
+    from shelfweek.functions.frames import row_frame_sums
+
+    rng = np.random.default_rng(3)
+    rows = [("hot", w, i, int(v)) for w in range(30) for i, v in enumerate(rng.integers(-5, 50, 1 + w % 9))]
+    rows += [(None, w, 0, w) for w in range(11)] + [("one", 1, 1, None)]
+    df = spark.createDataFrame(rows, "g string, week int, line int, v int").repartition(7)
+    got = {(r.g, r.week, r.line): (r.past, r.upto) for r in row_frame_sums(df, ["g"], ["week"], ["line"], {"past": ("v", -4, -1), "upto": ("v", -2, 0)}, block_rows).collect()}
+    assert len(got) == len(rows)
+    for g in ("hot", None, "one"):
+        own = sorted(r[1:] for r in rows if r[0] == g)
+        for i, (week, line, _) in enumerate(own):
+            total = lambda part: sum(known) if (known := [v for *_, v in part if v is not None]) else None
+            assert got[g, week, line] == (total(own[max(i - 4, 0) : i]), total(own[max(i - 2, 0) : i + 1]))
+    with pytest.raises(ValueError):
+        row_frame_sums(df, ["g"], ["week"], ["line"], {"x": ("v", -1, 1)})
