@@ -33,12 +33,29 @@ def coverage(df: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
     return _report(groups, f"coverage<{min_rows}", F.concat_ws("|", *by), F.col("rows"))
 
 
+def week_coverage(df: DataFrame, by: Sequence[str], min_weeks: int) -> DataFrame:
+    """Groups with fewer than ``min_weeks`` different weeks, however many rows a week has; a missing week counts for none."""
+    week = F.struct("fiscal_year", "fiscal_week")
+    known = F.when(F.col("fiscal_year").isNotNull() & F.col("fiscal_week").isNotNull(), week)
+    groups = df.groupBy(*by).agg(F.count_distinct(known).alias("weeks")).filter(F.col("weeks") < min_weeks)
+    return _report(groups, f"weeks<{min_weeks}", F.concat_ws("|", *by), F.col("weeks"))
+
+
 def negative_values(df: DataFrame, column: str) -> DataFrame:
     return _report(
         df.agg(F.count_if(F.col(column) < 0).alias("rows")), "negative", F.lit(column), F.col("rows")
     )
 
 
+def analysis_checks(rates: DataFrame, trailing: DataFrame, ages: DataFrame) -> DataFrame:
+    """Categories with under 16 weeks of rates or 32 weeks of trailing rates, and the number of ages below zero."""
+    return (
+        week_coverage(rates, ["cat_key"], 16)
+        .unionByName(week_coverage(trailing, ["cat_key"], 32))
+        .unionByName(negative_values(ages, "age_weeks"))
+    )
+
+
 def distinct_counts(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Distinct values of each column per group (counts as long rows)."""
     counts = df.groupBy(by).agg(*[F.count_distinct(c).alias(c) for c in columns])

@@ -416,12 +416,12 @@ add(
 )
 
 
-def _holdout(method: int, year: int):
+def _holdout(method: int, year: int, partition: str | None = None):
     def build(c: Context) -> DataFrame:
         ma = None
         if method != 1:
             grain, n = ("line" if method == 4 else "category"), (6 if method == 5 else 13)
-            ma = returns.return_rate_ma(c.features, grain=grain, n=n, shift=2)
+            ma = returns.return_rate_ma(c.features, grain=grain, n=n, shift=2, partition=partition)
         return returns.holdout(
             returns.returns_base(c.features), returns.md_vs_regular(c.features), ma, method, year,
             wk_cnt=HOLDOUT_WEEKS_NEEDED,
@@ -440,6 +440,14 @@ for _method in (1, 2, 3, 4, 5):
             _holdout(_method, _year),
             sql.holdout(_method, _year, HOLDOUT_WEEKS_NEEDED),
         )
+for _year in HOLDOUT_YEARS:
+    add(
+        f"d42_holdout_method4_by_category_{_year}",
+        "line:i cat_key:s gross_sales_units:i returns_post_2wk:i wk_cnt:i md_taken_flag:i reg_rr:d md_rr:d pred_rr:d adj_rr:d "
+        "pred_returns:d error:d",
+        _holdout(4, _year, "category"),
+        sql.holdout(4, _year, HOLDOUT_WEEKS_NEEDED, "ma13_line_by_category"),
+    )
 
 # ---- elasticity data sets -----------------------------------------------------------------------------------
 
@@ -746,7 +754,17 @@ add(
     UNION ALL SELECT 'coverage<400', cat_key, COUNT(*) FROM feat GROUP BY cat_key HAVING COUNT(*) < 400
     UNION ALL SELECT 'negative', 'net_sales_units', COUNT(CASE WHEN net_sales_units < 0 THEN 1 END) FROM feat""",
 )
-
+add(
+    "d71_analysis_checks",
+    "check:s key:s value:i",
+    lambda c: quality.analysis_checks(
+        returns.return_rate(c.features, RR_WEEKS), returns.return_rate_ma(c.features),
+        rollups.age_table(rollups.launches(c.ages()), c.cal, c.last_rank),
+    ),
+    """SELECT 'weeks<16' AS "check", cat_key AS "key", COUNT(DISTINCT (fiscal_year, fiscal_week)) AS value FROM rr GROUP BY cat_key HAVING value < 16
+    UNION ALL SELECT 'weeks<32', cat_key, COUNT(DISTINCT (fiscal_year, fiscal_week)) AS n FROM ma13 GROUP BY cat_key HAVING n < 32
+    UNION ALL SELECT 'negative', 'age_weeks', COUNT(*) FILTER (age_weeks < 0) FROM ages""",
+)
 add(
     "d71_lines_per_category",
     "cat_key:s cat_desc:s lines:i",

@@ -350,3 +350,11 @@ def test_row_frames_over_blocks(spark, block_rows):
             assert got[g, week, line] == (total(own[max(i - 4, 0) : i]), total(own[max(i - 2, 0) : i + 1]))
     with pytest.raises(ValueError):
         row_frame_sums(df, ["g"], ["week"], ["line"], {"x": ("v", -1, 1)})
+
+
+def test_week_coverage_counts_weeks(spark):
+    from shelfweek.operators.quality import week_coverage
+
+    rows = [("a", 2016, 1 + i % 3) for i in range(50)] + [("b", 2016, 1 + i) for i in range(16)] + [("c", None, 4), (None, 2016, 9)]
+    df = spark.createDataFrame(rows, "cat_key string, fiscal_year int, fiscal_week int")
+    assert {(r.check, r.key, r.value) for r in week_coverage(df, ["cat_key"], 16).collect()} == {("weeks<16", "a", 3), ("weeks<16", "c", 0), ("weeks<16", "", 1)}
