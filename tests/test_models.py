@@ -3,14 +3,17 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shelfweek.functions.linear import two_sided_p
 from shelfweek.functions.order_stats import quantiles, second_quartile_max
 from shelfweek.operators import baseline, elasticity, lifecycle, segments, validate
+from shelfweek.session import materialise
 
 
 def test_adaptive_smoothing_known_series(spark):
@@ -25,6 +28,37 @@ def test_adaptive_smoothing_known_series(spark):
     assert len(out) == 6 and out[6].s_r_forecast == 0 and out[6].fiscal_week == 5
 
 
+def test_smoothing_keeps_its_steps_packed():
+    series = pd.Series([np.arange(358.0) + i for i in range(300)])
+    tracemalloc.start()
+    found = baseline._trigg_leach(series, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 300 and peak < 120 * 300 * 358
+
+
+def test_smoothing_of_more_series_than_one_batch(spark):
+    n = baseline.SERIES_ROWS * 2 + 3
+    rows = [(k, 2000, w, w, 1, float(k + w)) for k in range(n) for w in (1, 2, 3)]
+    schema = "merchandise_key int, fiscal_year int, fiscal_week int, period int, gross_sales_units int, s_r_forecast double"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    out = baseline.adaptive_smoothing(df).collect()
+    assert len(out) == 4 * n
+    assert all(r.es_fcast == r.merchandise_key + 1 for r in out if r.period == 2)
+
+
+def test_dense_series_start_without_a_shuffle_of_the_feature_table(spark):
+    rows = [(k, k, "c", 2000, w, 1) for k in range(9) for w in (1, 3)]
+    schema = "product_key int, merchandise_key int, cat_key string, fiscal_year int, fiscal_week int, gross_sales_units int"
+    f = materialise(spark.createDataFrame(rows, schema), "few", bucket_by="product_key")
+    cal = spark.createDataFrame([(2000, w) for w in (1, 2, 3)], "fiscal_year int, fiscal_week int")
+    series = baseline.period_sales(cal, f, (2000, 3))
+    smoothed = baseline.adaptive_smoothing(series.withColumn("s_r_forecast", F.col("gross_sales_units").cast("double")))
+    plan = smoothed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(merchandise_key" not in plan
+    assert smoothed.count() == 36
+
+
 def test_seasonal_index_mean_one_and_short_series(spark):
     rows = [(2000 + t // 52, 1 + t % 52, t + 1, 1, "long", 100 + 40 * int(t % 52 < 26)) for t in range(156)]
     rows += [(2000 + t // 52, 1 + t % 52, t + 1, 2, "short", 5) for t in range(60)]
