@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfweek.functions.linear import two_sided_p
 from shelfweek.functions.order_stats import quantiles, second_quartile_max
-from shelfweek.operators import baseline, elasticity, lifecycle, segments, validate
+from shelfweek.operators import baseline, elasticity, lifecycle, returns, segments, validate
 from shelfweek.session import materialise
 
 
@@ -386,6 +386,25 @@ def test_row_frames_over_blocks(spark, block_rows):
         row_frame_sums(df, ["g"], ["week"], ["line"], {"x": ("v", -1, 1)})
 
 
+@pytest.mark.parametrize("grain, partition, n", [("category", None, 6), ("line", None, 13), ("line", "category", 4)])
+def test_rates_of_one_week_equal_those_of_all_weeks(spark, grain, partition, n):
+    draw = random.Random(n)
+    rows = [
+        (str(line % 3), line, *divmod(week, 100), draw.choice([199901, 199905, 0]), draw.randint(0, 9), draw.randint(0, 4))
+        for line in range(9) for week in range(199901, 199931) if draw.random() < 0.4
+    ]
+    f = spark.createDataFrame(
+        [(cat, cat, cat, *rest) for cat, *rest in rows],
+        "dept_desc string, cat_key string, cat_desc string, line int, fiscal_year int, fiscal_week int, launch_date int, "
+        "gross_sales_units int, net_sales_units int",
+    )
+    whole = returns.return_rate_ma(f, grain, n, shift=2, partition=partition)
+    for week in (1, 3, 17, 29, 30, 40):
+        one = returns.return_rate_ma(f, grain, n, shift=2, partition=partition, at=(1999, week)).collect()
+        assert sorted(one) == sorted(whole.filter(f"fiscal_week = {week}").collect())
+        assert one or week in (40,)
+
+
 def test_week_coverage_counts_weeks(spark):
     from shelfweek.operators.quality import week_coverage
 
