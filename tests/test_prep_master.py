@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfweek.functions.weeks import sunday_weeks, week_ending, week_gap
 from shelfweek.operators import master, prep
+from shelfweek.plans import context
+from shelfweek.plans.context import Context
 from shelfweek.sources import raw
 
 D = dt.date
@@ -49,6 +51,28 @@ def test_markdown_chain(spark):
     assert weeks == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 3), (7, 3), (8, 3), (9, 3)]
 
 
+def test_markdown_spans_hold_the_weeks_and_the_master_does_not_write_them_out(spark):
+    md = spark.createDataFrame(
+        [(1, "AA", D(1995, 1, 3), 9.0), (1, "AA", D(1995, 1, 20), 8.0), (1, "AA", D(1995, 1, 21), 7.0)],
+        "merchandise_key bigint, location_key string, effective_date date, price_point double",
+    )
+    cal = raw.cal(spark)
+    seq = prep.markdown_sequence(prep.markdown_intervals(md, cal, "1995-03-01"))
+    spans = prep.markdown_spans(seq, cal)
+    assert sorted(tuple(r) for r in spans.select("key_num", "start_rank", "last_rank").collect()) == [(1, 1, 2), (3, 3, 9)]
+    plan = Context(spark, "/root/testdata/sf0.001").master()._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(start_rank" not in plan
+
+
+def test_feature_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(context, "FEATURE_ROWS", 1000)
+    c = Context(spark, "/root/testdata/sf0.001")
+    rows = 2 * raw.read(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert c.partitions == -(-rows // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = c.build_features()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(product_key#" in plan and f", {c.partitions}), REPARTITION_BY_NUM" in plan
+
+
 def promo_rows(spark, start, end, price=10.0):
     df = spark.createDataFrame(
         [(1, 7, "AA", start, end, price, "x")],
