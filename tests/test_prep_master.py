@@ -73,6 +73,14 @@ def test_feature_partitions_follow_the_rows(spark, monkeypatch):
     assert "hashpartitioning(product_key#" in plan and f", {c.partitions}), REPARTITION_BY_NUM" in plan
 
 
+def test_lines_are_dealt_over_the_partitions_of_the_features(spark, monkeypatch):
+    monkeypatch.setattr(context, "FEATURE_ROWS", 1000)
+    c = Context(spark, "/root/testdata/sf0.001")
+    plan = c.lines()._jdf.queryExecution().executedPlan().toString()
+    exchanges = [e for e in plan.split("\n") if "Exchange hashpartitioning(line#" in e]
+    assert exchanges and all(f", {c.partitions}), REPARTITION_BY_NUM" in e for e in exchanges)
+
+
 def promo_rows(spark, start, end, price=10.0):
     df = spark.createDataFrame(
         [(1, 7, "AA", start, end, price, "x")],
