@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from bisect import bisect_left
@@ -23,7 +24,8 @@ WHOLE = 0.6  # or of all runs of the item, however they fall on the two
 RUN = 3  # words of a run
 LEAST = 7  # words of an answer; shorter ones reach back into the question, up to half of the item
 BLOCK = 16  # postings of a block
-GROUPS = 64  # groups of items for the first bound of a passage
+GROUPS = 64  # groups of items for the first bound of a passage, at least
+BOUNDS = 1 << 21  # bounds by term and group that an index may hold to have more groups, up to one for each item
 ITEMS = 20_000  # items of one index; more are searched for in several passes
 PASSAGE = 100  # least words of a passage; longer items make it longer
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, start long"
@@ -66,8 +68,10 @@ class Index:
             total = sum(weights.values()) or 1.0
             for t, v in weights.items():
                 self.postings[t].append((n, v / total))
-        self.term = {t: k for k, t in enumerate(self.postings)}
-        self.groups = np.zeros((len(self.term), min(GROUPS, max(len(items), 1))), dtype=np.float32)
+        self.words = list(self.postings)
+        self.term = {t: k for k, t in enumerate(self.words)}
+        wide = max(GROUPS, BOUNDS // max(len(self.term), 1))
+        self.groups = np.zeros((len(self.term), min(wide, max(len(items), 1))), dtype=np.float32)
         for t, k in self.term.items():
             for n, v in self.postings[t]:
                 g = n * self.groups.shape[1] // len(items)
@@ -119,12 +123,13 @@ class Index:
                 for t in reach:
                     at[t] = bisect_left(self.places[t], goal, at[t])
                 continue
-            score = 0.0
+            parts = []
             for t in reach:
                 at[t] = k = bisect_left(self.places[t], item, at[t])
                 if k < len(self.places[t]) and self.places[t][k] == item:
-                    score += self.postings[t][k][1]
+                    parts.append(self.postings[t][k][1])
                     at[t] = k + 1
+            score = math.fsum(parts)  # whatever the order of the cursors
             if score >= threshold:
                 found.append((item, score))
 
@@ -132,13 +137,14 @@ class Index:
         """item -> (score, question overlap, answer overlap, first word of the passage) for the best passage of each.
 
         Passages overlap by half and hold twice the longest item, so an item lies whole in one of them. A passage is
-        searched for only if its words can reach the threshold together for one of the groups of items.
+        searched for only if its words can reach the threshold together for one of the groups of items, and there only by
+        the words that the group has.
         """
         import numpy as np
 
         half = max(PASSAGE // 2, self.longest)
         get = self.term.get
-        terms_at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        terms_at = np.fromiter(map(get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
         places = np.flatnonzero(terms_at >= 0)
         if not len(places):
             return {}
@@ -146,15 +152,22 @@ class Index:
         halves, own = np.divmod(each, len(self.term))
         first = np.flatnonzero(np.diff(halves, prepend=-1))
         sums = np.zeros((int(halves[-1]) + 2, self.groups.shape[1]), dtype=np.float32)
-        sums[halves[first]] = np.add.reduceat(self.groups[own], first)
+        some = max(1, BOUNDS // (half * self.groups.shape[1]))  # halves at a time, however long the text is
+        for k in range(0, len(first), some):
+            at = first[k : k + some]
+            end = first[k + some] if k + some < len(first) else len(own)
+            sums[halves[at]] = np.add.reduceat(self.groups[own[at[0] : end]], at - at[0])
         sums[:-1] += sums[1:]
         best: dict[int, tuple] = {}
         for k in np.flatnonzero(sums.max(axis=1) >= threshold * 0.999).tolist():
             low = k * half
             passage = words[low : low + 2 * half]
-            terms = {w for w in passage if w in self.term}
-            near = None
-            hits = [h for g in np.flatnonzero(sums[k] >= threshold * 0.999).tolist() for h in self.search(terms, threshold, g)]
+            known = np.unique(terms_at[low : low + 2 * half])
+            known = known[known >= 0]
+            near, hits = None, []
+            for g in np.flatnonzero(sums[k] >= threshold * 0.999).tolist():
+                here = known[self.groups[known, g] > 0]
+                hits += self.search({self.words[t] for t in here.tolist()}, threshold, g)
             for n, score in hits:
                 near = near if near is not None else set(windows(passage, RUN))
                 *shares, whole = (sum(_has(r, near, passage) for r in side) / len(side) if side else 1.0 for side in self.runs[n])
