@@ -411,3 +411,36 @@ def test_week_coverage_counts_weeks(spark):
     rows = [("a", 2016, 1 + i % 3) for i in range(50)] + [("b", 2016, 1 + i) for i in range(16)] + [("c", None, 4), (None, 2016, 9)]
     df = spark.createDataFrame(rows, "cat_key string, fiscal_year int, fiscal_week int")
     assert {(r.check, r.key, r.value) for r in week_coverage(df, ["cat_key"], 16).collect()} == {("weeks<16", "a", 3), ("weeks<16", "c", 0), ("weeks<16", "", 1)}
+
+
+@pytest.mark.parametrize("block_lines, shift", [(1, 2), (5, 0), (128, 2)])
+def test_rates_over_lines_of_a_category_in_blocks(spark, monkeypatch, block_lines, shift):
+    """Frames over packed lines equal the rows in order: categories of one, a few and many lines, an unknown department."""
+    draw = random.Random(block_lines)
+    sizes = {"a": 1, "b": 3, "c": 23}
+    rows = [
+        (None if cat == "b" else cat, cat, cat, f"{cat}{line:02}", *divmod(week, 100), 200003, draw.randint(0, 9), draw.randint(0, 4))
+        for cat, size in sizes.items() for line in range(size) for week in range(200001, 200013) if draw.random() < 0.5 or week < 200003
+    ]
+    f = spark.createDataFrame(
+        rows, "dept_desc string, cat_key string, cat_desc string, line string, fiscal_year int, fiscal_week int, launch_date int, "
+        "gross_sales_units int, net_sales_units int",
+    )
+    monkeypatch.setattr(returns._rows_by_category, "__defaults__", (block_lines,))
+    rates = returns.return_rate_ma(f, "line", 5, shift=shift, partition="category", partitions=3)
+    plan = [x.lstrip(" +-") for x in rates._jdf.queryExecution().executedPlan().toString().splitlines()]
+    plan = [x.split(" ")[0] for x in plan if not x.startswith(":")]  # without the subquery of weeks
+    assert "Window" in plan and "Exchange" not in plan[: plan.index("Generate")]  # rows of line and week are not shuffled
+    got = {(r.line, r.fiscal_week): r for r in rates.collect()}
+    assert len(got) == sum(sizes.values()) * 10
+    sold = {(r[3], r[5]): r[7:] for r in rows}
+    for cat, size in sizes.items():
+        own = [(f"{cat}{line:02}", week) for week in range(3, 13) for line in range(size)]
+        back = lambda line, week: (lambda s: s[0] - s[1])(sold.get((line, week), (0, 0))) if week <= 12 else None
+        values = [(back(line, week + shift), sold.get((line, week), (0, 0))[0]) for line, week in own]
+        for k, key in enumerate(own):
+            assert got[key].gross_sales == values[k][1] and got[key].return_units == back(*key)
+            for name, part in (("ma_n_wk_rr", values[max(k - 5, 0) : k]), ("pred_rr", values[max(k - 4, 0) : k + 1])):
+                known, gross = [v for v, _ in part if v is not None], sum(g for _, g in part)
+                expected = None if not part else 0.0 if gross == 0 else sum(known) / gross if known else None
+                assert getattr(got[key], name) == expected
