@@ -328,6 +328,39 @@ def test_kmeans_blocks_equal_one_block(spark):
     assert one == many
 
 
+def test_starts_of_blocks_equal_those_of_one_block(spark):
+    """Blocks tell a few of their own points, ties between blocks included; an empty place of a small group stays short."""
+    from shelfweek.operators import blocks, kmeans
+
+    draw = np.random.default_rng(5)
+    rows = [("a", i, [float(v) for v in draw.integers(0, 6, 2)]) for i in range(90)] + [("b", i, [float(i % 3), 1.0]) for i in range(9)]
+    points = spark.createDataFrame(rows, "g string, ident long, x array<double>").repartition(5)
+    packed = blocks.packed(points, ["g"], 8)
+    assert packed.filter("g = 'a'").count() > 5
+    problems = spark.createDataFrame([("a", 4), ("a", 1), ("b", 4)], "g string, k int")
+    found = {(r.g, r.k, r.start): r.centres for r in kmeans._first_centres(packed, points, problems, ["g"], 2, 4).collect()}
+    assert len(found) == 3 * kmeans.STARTS
+    for g, k in (("a", 4), ("a", 1), ("b", 4)):
+        row = blocks.packed(points.filter(F.col("g") == g), ["g"]).first()
+        x, hashes = np.array([c["x"] for c in row["cells"]]), np.array([c["h"] for c in row["cells"]])
+        assert [found[g, k, s] for s in range(kmeans.STARTS)] == kmeans._starts(x, hashes, k).tolist()
+
+
+def test_a_turn_holds_no_points_by_problems_by_centres():
+    from shelfweek.operators import kmeans
+
+    draw = np.random.default_rng(6)
+    x, centres = draw.normal(size=(2048, 2)), draw.normal(size=(20, 10, 2))
+    tracemalloc.start()
+    labels, n, sums, squares = kmeans._turn(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * 2048 * 20 * 10 / 2
+    every = ((x[None, :, None] - centres[:, None]) ** 2).sum(axis=3)
+    assert (labels == every.argmin(axis=2)).all() and (n.sum(axis=1) == 2048).all()
+    assert np.allclose(squares, every.min(axis=2).sum(axis=1)) and np.allclose(sums.sum(axis=1), x.sum(axis=0))
+
+
 def test_compared_blocks_against_brute_force_with_ties(spark):
     from shelfweek.operators import blocks
 
