@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfweek.functions.numeric import half_up_cents, money
 from shelfweek.plans.context import Context
-from shelfweek.session import clear_stages, shared_dir
+from shelfweek.session import clear_stages, materialise, shared_dir
 
 
 def test_no_local_folder_on_a_cluster():
@@ -29,3 +29,15 @@ def test_halves_round_away_from_zero(spark):
         money(F.lit(-1.125)).alias("a"), money(F.lit(1.125)).alias("b"), half_up_cents(F.lit(-5), F.lit(2)).alias("c"), half_up_cents(F.lit(5), F.lit(2)).alias("d")
     ).first()
     assert [float(v) for v in row] == [-1.13, 1.13, -0.03, 0.03]
+
+
+def test_stages_are_written_with_zstd(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for bucketed in ({}, {"bucket_by": "id", "buckets": 2}):
+        stage = materialise(spark.range(100).withColumn("v", F.col("id") % 7), "codec", **bucketed)
+        files = [f.removeprefix("file://").removeprefix("file:") for f in stage.inputFiles()]
+        assert stage.count() == 100 and files
+        assert {pq.ParquetFile(g).metadata.row_group(0).column(0).compression for f in files for g in glob.glob(f)} == {"ZSTD"}
