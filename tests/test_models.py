@@ -477,3 +477,40 @@ def test_rates_over_lines_of_a_category_in_blocks(spark, monkeypatch, block_line
                 known, gross = [v for v, _ in part if v is not None], sum(g for _, g in part)
                 expected = None if not part else 0.0 if gross == 0 else sum(known) / gross if known else None
                 assert getattr(got[key], name) == expected
+
+
+def test_pair_costs_of_all_k_against_whole_distances():
+    """Both directions and all k come from one pass over a pair's distances."""
+    from shelfweek.operators.blocks import distances
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(150, 2)), rng.normal(size=(70, 2))
+    problems = [rng.normal(size=(k, 2)).tolist() for k in (2, 4)]
+    cost_a, cost_b = segments._pair_costs(a, b, problems, True, True)
+    for x, y, cost in ((a, b, cost_a), (b, a, cost_b)):
+        want = []
+        for medoids in problems:
+            ds = distances(np.array(medoids), y)
+            order = np.sort(ds, axis=0)
+            want.append(segments._swap_cost(distances(x, y), order[0], order[1], ds.argmin(axis=0), len(medoids)))
+        assert np.allclose(cost, np.hstack(want))
+    built = segments._pair_costs(a, b, [[], problems[0]], False, True)
+    assert np.allclose(built[0][:, 0], distances(a, b).sum(axis=1)) and built[1].shape == (70, 2)
+
+
+def test_large_groups_keep_sums_and_medoids_packed(spark):
+    """A pair of blocks gives one row a block, not one a point and cluster; medoids of all k are those of one matrix."""
+    from shelfweek.operators import blocks
+
+    rng = np.random.default_rng(9)
+    data = [("g", f"p{i:02d}", x, [1 + i % 3, 1 + i % 2]) for i, x in enumerate(rng.integers(0, 6, (40, 2)).astype(float).tolist())]
+    points = spark.createDataFrame(data, "cat_key string, ident string, x array<double>, labels array<int>")
+    made = blocks.packed(points, ["cat_key"], 20).count()
+    assert blocks.compared(points, ["cat_key"], 3, 20).count() == made * made
+    problems = points.select("cat_key").distinct().withColumn("k", F.explode(F.array(F.lit(2), F.lit(3))))
+    plain = points.select("cat_key", "ident", "x")
+    small, large = (
+        {r.k: [m.ident for m in r.medoids] for r in segments._medoids(plain, problems, ["cat_key"], 2, 3, 500, block).collect()}
+        for block in (2048, 20)
+    )
+    assert small == large and sorted(small) == [2, 3]
