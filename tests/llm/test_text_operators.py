@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -257,3 +258,36 @@ def test_masked_lm_learns(spark, small, edge_docs, no_docs):
         if words:
             assert abs(r.lm.score * len(words) - r.lm.log_likelihood) < 1e-6 * abs(r.lm.log_likelihood)
     assert masked_lm.with_scores(no_docs, masked_lm.train(no_docs, []), []).count() == 0
+
+
+@pytest.mark.parametrize("known", [None, 3, 0])
+def test_masked_words_of_a_shared_id_differ(spark, monkeypatch, known):
+    """Likelihoods against a plain count; with few or no words held by tasks all others take the join."""
+    if known is not None:
+        monkeypatch.setattr(masked_lm, "KNOWN", known)
+    texts = ["one amber and one ember", "a december ember, Ünïcode", "a timber is one ember", None, "", "a a a b ümber", "a timber is one ember"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequent, net = ["a", "one"], masked_lm.Network()
+    counted = Counter(w for t in texts for w in licenses.words_of(t))
+    ids_of = masked_lm.Ids(frequent)
+    id_of = {w: int(ids_of.of([w])[0][0]) for w in counted}
+    assert id_of[b"amber"] == id_of[b"ember"] == id_of[b"timber"] and id_of[b"a"] == 0
+    whole = Counter()
+    for w, n in counted.items():
+        whole[id_of[w]] += n
+    extra = spark.createDataFrame([(9, "one lumber of a kind")], docs.schema)  # words that were not counted
+    counts = masked_lm.word_counts(docs)
+    scored = masked_lm.with_scores(docs.union(extra), net, frequent, counts=counts, keep=["doc_id"])
+    assert scored.columns == ["doc_id", "lm"]
+    got = {r.doc_id: r.lm for r in scored.collect()}
+    for k, t in [*enumerate(texts), (9, "one lumber of a kind")]:
+        words = licenses.words_of(t)
+        ids, places, _, _ = ids_of.stream([words])
+        want = float(net.log_chances(ids, places).sum()) if words else 0.0
+        for w, i in zip(words, ids[places]):
+            want += 0 if w.decode() in frequent else np.log(max(counted[w], 1) / (whole[int(i)] + 1))
+        assert got[k].n_words == len(words) and abs(got[k].log_likelihood - want) < 1e-4
+    assert got[2] == got[6]
+    one = spark.createDataFrame([(1, "amber"), (2, "ember")], docs.schema)
+    apart = {r.doc_id: r.lm.log_likelihood for r in masked_lm.with_scores(one, net, frequent, counts=counts).collect()}
+    assert counted[b"ember"] == 4 and abs(apart[2] - apart[1] - np.log(4)) < 1e-5
