@@ -514,3 +514,17 @@ def test_large_groups_keep_sums_and_medoids_packed(spark):
         for block in (2048, 20)
     )
     assert small == large and sorted(small) == [2, 3]
+
+
+def test_silhouettes_without_extremes_stay_the_same(spark):
+    from shelfweek.operators import blocks
+
+    df = tied_groups(spark)
+    rng = np.random.default_rng(5)
+    data = [(r.cat_key, r.link_line, [r.sales, r.price], rng.integers(1, 4, 2).tolist()) for r in df.collect()]
+    points = spark.createDataFrame(data, "cat_key string, ident string, x array<double>, labels array<int>")
+    for block in (2048, 9):
+        whole, bare = (blocks.compared(points, ["cat_key"], 3, block, ends=ends).cache() for ends in (True, False))
+        assert bare.count() == whole.count() and bare.filter("apart IS NOT NULL OR wide IS NOT NULL").isEmpty()
+        widths = [{(r.cat_key, r.which, r.ident, r.own): r.silhouette_width for r in blocks.silhouettes(f, ["cat_key"]).collect()} for f in (whole, bare)]
+        assert widths[0].keys() == widths[1].keys() and all(abs(widths[1][k] - v) < 1e-12 for k, v in widths[0].items())
