@@ -41,3 +41,23 @@ def test_stages_are_written_with_zstd(spark):
         files = [f.removeprefix("file://").removeprefix("file:") for f in stage.inputFiles()]
         assert stage.count() == 100 and files
         assert {pq.ParquetFile(g).metadata.row_group(0).column(0).compression for f in files for g in glob.glob(f)} == {"ZSTD"}
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    import time
+
+    store = spark._jsc.sc().env().blockManager().diskBlockManager()
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    files = lambda: {f for f in map(str, listed(store.getAllFiles())) if "/shuffle_" in f}
+    held, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    for bucketed in ({}, {"bucket_by": "v", "buckets": 3}):
+        summed = spark.range(1000).groupBy((F.col("id") % 7).alias("v")).agg(F.sum("id").alias("s"))
+        stage = materialise(summed, "shuffled", **bucketed)
+        for _ in range(50):
+            if not (left := files() - held):
+                break
+            time.sleep(0.1)
+        assert not left and spark.conf.get(setting) == before
+        assert stage.count() == 7
+        held |= files()
