@@ -479,6 +479,51 @@ def test_rates_over_lines_of_a_category_in_blocks(spark, monkeypatch, block_line
                 assert getattr(got[key], name) == expected
 
 
+@pytest.mark.parametrize("shift, carry", [(2, None), (0, None), (0, 3), (12, None)])
+def test_rates_of_lines_are_differences_of_totals(spark, shift, carry):
+    """Rates of a line equal the sums of its rows in order, and no window runs over rows of line and week. With a line of
+    two products, one without sales, one without weeks, a late launch and an unknown department."""
+    draw, n, last = random.Random(shift), 5, 12
+    launches = {"a": 200001, "b": 200004, "c": 200012, "d": 200101}
+    rows = [
+        (None if cat == "b" else cat, cat, cat, f"{cat}{line}", *divmod(week, 100), launch, draw.randint(0, 9), draw.randint(0, 4))
+        for cat, launch in launches.items() for line in range(3) for _ in range(1 + line) for week in range(200001, 200001 + last)
+        if draw.random() < 0.4 or (cat, line) == ("a", 0)
+    ]
+    rows += [("a", "a", "a", "a9", None, None, 200001, None, None), ("a", "a", "a", "a0", None, 7, 200001, 9, 4), ("b", "b", "b", None, 2000, 1, 200004, 9, 4), (None, None, None, "x", 2000, 2, 200001, 1, 0)]
+    rows += [("a", "a", "a", "a8", 2000, 3, 200001, None, None)]
+    f = spark.createDataFrame(
+        rows, "dept_desc string, cat_key string, cat_desc string, line string, fiscal_year int, fiscal_week int, launch_date int, "
+        "gross_sales_units int, net_sales_units int",
+    )
+    rates = returns.return_rate_ma(f, "line", n, shift=shift, carry_shift=carry)
+    plan = [x.lstrip(" +-") for x in rates._jdf.queryExecution().executedPlan().toString().splitlines()]
+    plan = [x.split(" ")[0] for x in plan if not x.startswith(":")]
+    assert "Window" not in plan[: plan.index("Generate")] and "Exchange" not in plan[: plan.index("Generate")]
+    got = {(r.cat_key, r.line, r.fiscal_week): r for r in rates.collect()}
+    lines = {(r[1], r[3], r[0]) for r in rows if r[1] and r[3]}
+    sold = {}
+    for dept, cat, _, line, year, week, _, gross, net in rows:
+        if year and week:
+            g, t = sold.get((cat, line, week), (0, 0))
+            sold[cat, line, week] = (g + (gross or 0), t + (net or 0))
+    weeks = lambda cat: range(launches[cat] - 200000, last + 1)
+    assert set(got) == {(cat, line, week) for cat, line, _ in lines for week in weeks(cat)}
+    moved = shift or carry
+    for cat, line, dept in lines:
+        back = lambda week: (lambda s: s[0] - s[1])(sold.get((cat, line, week), (0, 0))) if week <= last else None
+        values = [(back(week + shift), sold.get((cat, line, week), (0, 0))[0]) for week in weeks(cat)]
+        for k, week in enumerate(weeks(cat)):
+            row = got[cat, line, week]
+            assert (row.dept_desc, row.fiscal_year, row.min_ld) == (dept, 2000, launches[cat])
+            assert (row.gross_sales, row.return_units) == (values[k][1], back(week))
+            assert not moved or row.returns_post_2wk == back(week + moved)
+            for name, part in (("ma_n_wk_rr", values[max(k - n, 0) : k]), ("pred_rr", values[max(k - n + 1, 0) : k + 1]), ("wkly_rr", values[k : k + 1])):
+                known, gross = [v for v, _ in part if v is not None], sum(g for _, g in part)
+                expected = None if not part else 0.0 if gross == 0 else sum(known) / gross if known else None
+                assert getattr(row, name) == expected, (name, cat, line, week)
+
+
 def test_pair_costs_of_all_k_against_whole_distances():
     """Both directions and all k come from one pass over a pair's distances."""
     from shelfweek.operators.blocks import distances
