@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfweek.functions.weeks import sunday_weeks, week_ending, week_gap
-from shelfweek.operators import master, prep
+from shelfweek.operators import lifecycle, master, prep
 from shelfweek.plans import context
 from shelfweek.plans.context import Context
 from shelfweek.sources import raw
@@ -81,6 +81,49 @@ def test_lines_are_dealt_over_the_partitions_of_the_features(spark, monkeypatch)
     assert exchanges and all(f", {c.partitions}), REPARTITION_BY_NUM" in e for e in exchanges)
 
 
+def test_life_cycle_opens_recorded_weeks_in_order(spark):
+    """Weeks of a life come from the records around them; no window runs over the rows of line and week."""
+    zero = [
+        "store_num_with_inventory", "store_num_with_onorder", "gross_sales_units", "net_sales_units",
+        "eop_dc_inventory_units", "eop_dc_on_order_units", "eop_inventory_units", "eop_on_order_units",
+    ]
+    lines = {  # launch, then (week, net units, flag) of each record
+        "early": (199952, [(200002, 3, None), (200004, 2, None), (200009, 1, None)]),
+        "late": (200003, [(200001, 5, None), (200004, 2, "First"), (200004, 4, "Further"), (200006, None, None), (200008, 7, None)]),
+        "unknown": (None, [(200002, 1, None)]),
+        "over": (200007, [(200003, 1, "First"), (200005, 2, None)]),
+        "far": (200151, [(200001, 2, None), (200110, 6, "First"), (200111, 6, None)]),
+        "between": (200003, [(200002, 9, None), (200008, 1, "First")]),
+    }
+    rows, weeks = [], sorted({w for _, recorded in lines.values() for w, *_ in recorded})
+    ends = {}
+    for line, (launch, recorded) in lines.items():
+        last = {kind: max((w for w, _, f in recorded if (f is None) == kind), default=None) for kind in (True, False)}
+        ends[line] = last[False] or last[True]
+        for w, net, flag in recorded:
+            units = [net if c == "net_sales_units" else w % 10 for c in zero]
+            rows.append(("d", "d", "c", "c", line, *divmod(w, 100), launch, *units, flag, 1 if flag else None, 20, last[flag is None]))
+    schema = "dept_key string, dept_desc string, cat_key string, cat_desc string, line string, fiscal_year int, fiscal_week int, launch_date int, "
+    inv = spark.createDataFrame(rows, schema + " int, ".join(zero) + " int, md_flag string, md_taken_flag int, first_wk_inv long, md_max_date int")
+    out = lifecycle.line_life_cycle(inv)
+    plan = [x.lstrip(" +-").split(" ")[0] for x in out._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert "Window" not in plan[: plan.index("Generate")] and "Sort" not in plan[: plan.index("Generate")]
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.line, r.fiscal_year * 100 + r.fiscal_week), []).append(r)
+    want = {(line, w) for line, (launch, _) in lines.items() for w in weeks if launch and launch <= w <= ends[line]}
+    assert set(got) == want and ("late", 200004) in want and ("early", 200003) in want and ("between", 200004) in want
+    for (line, w), found in got.items():
+        launch, recorded = lines[line]
+        own = [(net or 0, flag) for week, net, flag in recorded if week == w] or [(0, None)]
+        assert sorted((r.net_sales_units, str(r.md_flag)) for r in found) == sorted((n, str(f)) for n, f in own)
+        assert all(r.eop_inventory_units == (w % 10 if any(week == w for week, *_ in recorded) else 0) for r in found)
+        total = sum(n or 0 for week, n, _ in recorded if launch <= week <= min(w, ends[line]))
+        assert max(r.cum_sales for r in found) == total and {r.md_max_date for r in found} == {ends[line]}
+        assert {r.cum_str for r in found if r.cum_sales == total} == {total / 20} and {r.launch_date for r in found} == {launch}
+        assert {r.age_in_weeks for r in found} == {(w // 100 - launch // 100) * 52 + w % 100 - launch % 100 + 1}
+
+
 def promo_rows(spark, start, end, price=10.0):
     df = spark.createDataFrame(
         [(1, 7, "AA", start, end, price, "x")],
