@@ -124,6 +124,13 @@ def test_life_cycle_opens_recorded_weeks_in_order(spark):
         assert {r.age_in_weeks for r in found} == {(w // 100 - launch // 100) * 52 + w % 100 - launch % 100 + 1}
 
 
+def test_stages_of_a_life_cycle_read_it_once(spark):
+    from shelfweek.plans.queries import QUERIES
+
+    plan = QUERIES["d21_quadratic_stage"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "category_life" in str(Context.of(spark, "/root/testdata/sf0.001").__dict__.keys())
+
+
 def promo_rows(spark, start, end, price=10.0):
     df = spark.createDataFrame(
         [(1, 7, "AA", start, end, price, "x")],
