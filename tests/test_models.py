@@ -72,6 +72,19 @@ def test_seasonal_index_mean_one_and_short_series(spark):
     assert {(r.product_ts, r.season_status) for r in out if r.cat_key == "short"} == {(1.0, "short")}
 
 
+def test_seasonal_index_opens_the_series_once(spark):
+    """Category weeks come from recorded weeks, equal to the sums of the dense series, which is opened for its rows only."""
+    from shelfweek.plans.context import Context
+
+    c = Context(spark, "/root/testdata/sf0.001")
+    c.__dict__["features"] = Context.of(spark, c.sf_dir).features
+    dense = baseline.category_weeks(c.series())
+    sums = baseline.category_sales(c.cal, c.features, c.last_week)
+    assert sorted(map(tuple, sums.select(*dense.columns).collect())) == sorted(map(tuple, dense.collect()))
+    plan = c.seasoned()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_logistic_growth_recovers_parameters(spark):
     p1, p2, p3 = 0.9, 40.0, 8.0
     rows = [("a", t, p1 / (1 + math.exp((p2 - t) / p3))) for t in range(137)] + [("b", t, 1.0) for t in range(30)]
