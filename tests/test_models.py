@@ -72,6 +72,25 @@ def test_seasonal_index_mean_one_and_short_series(spark):
     assert {(r.product_ts, r.season_status) for r in out if r.cat_key == "short"} == {(1.0, "short")}
 
 
+def test_baselines_of_some_periods_equal_those_of_all(spark):
+    """Rows of single periods, early ones and missing ones too, without opening or framing the others."""
+    draw = random.Random(4)
+    rows = [(key, "c", 2000 + (p - 1) // 52, 1 + (p - 1) % 52, p, draw.choice([0, 0, 3, 7])) for key in range(5) for p in range(1 + key % 2, 61)]
+    df = spark.createDataFrame(rows, "merchandise_key int, cat_key string, fiscal_year int, fiscal_week int, period int, gross_sales_units int")
+    df = df.withColumn("s_r_forecast", F.col("gross_sales_units") / 2.0)
+    at, n = [1, 2, 9, 30, 33, 60, 61], 13
+    weeks = [(2000 + (p - 1) // 52, 1 + (p - 1) % 52) for p in at]
+    smooth = baseline.adaptive_smoothing(df).filter(F.col("period") <= 60)
+    some = baseline.adaptive_smoothing(df, at=at)
+    assert some.columns == smooth.columns
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, smooth.filter(F.col("period").isin(at)).collect()))
+    trailing = lambda f: sorted(map(str, f.collect()))
+    whole = baseline.trailing_baselines(df, n)
+    of = [r for r in whole.collect() if (r.fiscal_year, r.fiscal_week) in weeks]
+    near = baseline.trailing_baselines(df, n, at=at)
+    assert near.columns == whole.columns and trailing(near) == sorted(map(str, of)) and len(of) == 28
+
+
 def test_seasonal_index_opens_the_series_once(spark):
     """Category weeks come from recorded weeks, equal to the sums of the dense series, which is opened for its rows only."""
     from shelfweek.plans.context import Context
